@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from inkmill.llm import html_main, mixing, quality, simhash, token_counts, warc
+from inkmill.llm import decontam, html_main, license, lm, mixing, quality, simhash, suffix, token_counts, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
+    "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_license_scans": license.op4_license_scans,
     "op5_html_extraction": html_main.op5_html_extraction,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }

@@ -270,7 +270,7 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = z
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, th long"
 
 
 def _cut(rows: pa.Table, runs: pa.Table) -> pa.Table:
@@ -295,7 +295,7 @@ def _cut(rows: pa.Table, runs: pa.Table) -> pa.Table:
         left = b"".join(kept)
         for column, x in zip(out, (len(text), removed, spans, hashlib.sha256(left).hexdigest(), left), strict=True):
             column.append(x)
-    return pa.table({"doc_id": b.rows.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary())})
+    return pa.table({"doc_id": b.rows.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary()), "th": _u(np.array([xxhash.xxh64_intdigest(t, 42) for t in b.texts], np.uint64))})
 
 
 def _free(spark) -> None:
@@ -304,7 +304,7 @@ def _free(spark) -> None:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
+    """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay), th (xxhash64 of the text).
 
     Null text is empty; texts under DEPTH bytes lose nothing. Rows that repeat a doc_id count as documents
     that follow each other, in the order of their texts; rows without a doc_id come last of all. An empty
@@ -329,15 +329,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept", "th")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of their texts (characters that a cut splits go too, n_chars follows); documents of which no word is left go."""
-    kept = deduplicated(docs).where("n_removed > 0").select("doc_id", "kept")
-    kept = kept.dropDuplicates(["doc_id"])
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.regexp_replace(text, "�", "")
-    joined = docs.join(kept, "doc_id", "left").withColumn("text", text)
-    changed = joined.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else joined
-    return changed.where(F.col("kept").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    cut = deduplicated(docs).where("n_removed > 0").groupBy(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th")).agg(F.min_by("kept", "n_removed").alias("c_kept"))
+    joined = docs.join(cut, docs.doc_id.eqNullSafe(cut.c_doc) & (F.xxhash64(docs.text) == cut.c_th), "left")
+    changed = F.col("c_kept").isNotNull()
+    text = F.regexp_replace(F.make_valid_utf8(F.col("c_kept").cast("string")), "\ufffd", "")
+    joined = joined.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

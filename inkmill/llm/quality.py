@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import SPACE, SPACE_CHARS, only, table, written
+from inkmill.llm.common import SPACE, SPACE_CHARS, only, small_enough, table, written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 50
 #: Fence: so many interquartile ranges above the median, and at least so much above it.
 SPREADS, WIDTHS = 6.0, {"symbol_rate": 0.05, "dup_line_rate": 0.5, "repeat_rate": 0.35, "upper_rate": 0.3}
 #: Groups under this many documents use their language's sketch, then the whole corpus's.
 LEAST_GROUP, SKETCH_K = 200, 1024
+#: Groups up to which their fences are broadcast.
+MOST_BROADCAST = 100_000
 #: Fences are rounded up to this grid, so that the sketches' randomness doesn't move them from run to run.
 GRID = 0.05
 
@@ -115,7 +117,9 @@ def judged(docs: DataFrame) -> DataFrame:
     Repeated rows are judged one by one. An empty table gives an empty result.
     """
     counts = written(rated(counted(only(docs, "doc_id", "text", "lang", "source"), "doc_id", "lang", "source")), "counts")
-    limits = fences(counts).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    limits = written(fences(counts).withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), "fences")
+    if small_enough(limits, MOST_BROADCAST):
+        limits = F.broadcast(limits)  # else a source with a third of the rows would be one task
     both = counts.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     within = [F.coalesce(F.col(r) <= F.col(f"{r}_fence"), F.lit(True)) for r in WIDTHS]
     verdict = ~F.col("base_failed")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +55,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has most_rows at most; reads no more than that."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of jobs whose result is written: it learns of them by garbage collection, first of Python's references, then of the JVM's."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, table, written
+from inkmill.llm.common import free, only, table, written
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 BLOCK_BYTES = 16 << 20
@@ -185,7 +185,8 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block")
     sent = docs.groupBy("block").applyInArrow(_send(order, bits, shards), SENT)
     answers = written(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer(order), ANSWER), "answers")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of what is now written
+    del sent
+    free(docs.sparkSession)
     n = answers.agg(F.sum("tokens")).first()[0] or 0
     out = docs.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_score(order, bits, n), SCORED)
     mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_score") / F.col("n_tokens"), 9))

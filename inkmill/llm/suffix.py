@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, table, written
+from inkmill.llm.common import free, only, table, written
 
 DEPTH, PIECE = 100, 24
 #: Text of a block, about; windows of a batch; stretches of a hash over which it is cut into windows.
@@ -298,11 +298,6 @@ def _cut(rows: pa.Table, runs: pa.Table) -> pa.Table:
     return pa.table({"doc_id": b.rows.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary()), "th": _u(np.array([xxhash.xxh64_intdigest(t, 42) for t in b.texts], np.uint64))})
 
 
-def _free(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs that are over."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay), th (xxhash64 of the text).
 
@@ -317,13 +312,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block")
     said = docs.groupBy("block").applyInArrow(_say, SAID)
     told = written(said.repartition(blocks, "a").mapInArrow(_tell, TOLD), "told")
-    _free(spark)
+    free(spark)
     at_block = told.repartition(blocks, "block").groupBy("block")
     found = written(docs.groupBy("block").cogroup(at_block).applyInArrow(_find, FOUND), "found")
-    _free(spark)
+    free(spark)
     entries = found.where("content is not null").repartition(blocks, "key")
     scanned = written(entries.mapInArrow(_scan, RUNS), "scanned")
-    _free(spark)
+    free(spark)
     runs = found.where("content is null").select("block", "k", "start", "n").unionByName(scanned)
     return docs.groupBy("block").cogroup(runs.repartition(blocks, "block").groupBy("block")).applyInArrow(_cut, KEPT)
 

@@ -84,9 +84,10 @@ class _Grams:
             self.places.append(at)
             self.hashes.append(gram[at] >> shift)
 
-    def distinct(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order: distinct hashes ascending, which of them each place has, their counts."""
-        return [np.unique(x, return_inverse=True, return_counts=True) for x in self.hashes]
+    def distinct(self):
+        """For each order in turn, so that one is in memory: distinct hashes ascending, which of them each place has, their counts."""
+        for x in self.hashes:
+            yield np.unique(x, return_inverse=True, return_counts=True)
 
 
 def _texts(rows: pa.Table) -> list[bytes]:
@@ -106,13 +107,13 @@ ANSWER = "block long, shard long, tokens long, totals array<binary>"
 def _send(order: int, bits: int, shards: int):
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
-        found = _Grams(_texts(rows), order, bits).distinct()
-        bounds = [_bounds(x, shards, bits) for x, _, _ in found]
-        out: list[dict] = []
-        for s in range(shards):
-            parts = [(x[b[s] : b[s + 1]], n[b[s] : b[s + 1]]) for (x, _, n), b in zip(found, bounds, strict=True)]
-            if any(len(x) for x, _ in parts):
-                out.append({"shard": s, "block": block, "tokens": int(parts[0][1].sum()), "grams": [pack(x) for x, _ in parts], "counts": [pack_counts(n) for _, n in parts]})
+        out = [{"shard": s, "block": block, "tokens": 0, "grams": [], "counts": []} for s in range(shards)]
+        for k, (x, _, n) in enumerate(_Grams(_texts(rows), order, bits).distinct()):
+            bounds = _bounds(x, shards, bits)
+            for row, lo, hi in zip(out, bounds, bounds[1:], strict=False):
+                row["grams"].append(pack(x[lo:hi]))
+                row["counts"].append(pack_counts(n[lo:hi]))
+                row["tokens"] += int(n[lo:hi].sum()) if not k else 0
         return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("tokens", pa.int64()), ("grams", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))]))
 
     return run

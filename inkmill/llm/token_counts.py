@@ -25,7 +25,7 @@ from inkmill.llm.common import only, table
 
 LIMIT, TOKENIZER = 512, "byte_bpe_50k.json"
 #: Postings that a task holds before it passes them on.
-HELD = 600_000
+HELD = 1_500_000
 #: The published split pattern of byte-level BPE (fixed value).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose classes are settled in all Unicode versions in use; a text with others is split by the library itself.
@@ -74,7 +74,7 @@ def frequencies(text: str, path: str) -> tuple[int, Counter]:
 
 
 def _postings(path: str):
-    schema = pa.schema([("pre", pa.string()), ("uid", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("n_bytes", pa.int64())])
+    schema = pa.schema([("pre", pa.string()), ("uid", pa.list_(pa.int64())), ("n", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(path)[3]
@@ -82,11 +82,12 @@ def _postings(path: str):
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            items = list(held.items())
+            # in order, so that neighbours share beginnings and compress
+            items = sorted(held.items())
             for a in range(0, len(items), 50_000):
                 part = items[a : a + 50_000]
                 none = pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([v[::2] for _, v in part], pa.list_(pa.int64())), pa.array([v[1::2] for _, v in part], pa.list_(pa.int64())), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([v for _, v in part], pa.list_(pa.int64())), none, none, none], schema=schema)
             held.clear()
 
         for batch in it:
@@ -96,8 +97,9 @@ def _postings(path: str):
                 for k, n in found.items():
                     c = known.get(k)
                     if c is None:
-                        held[k] += (uid, n)
-                        size += 1
+                        # most occur once in a text: repeats of the id take less than a count beside each
+                        held[k] += [uid] * n if n > 1 else (uid,)
+                        size += n
                     else:
                         sure += c * n
                 for column, x in zip(base, (uid, sure, doc_id, len((text or "").encode())), strict=True):
@@ -107,8 +109,7 @@ def _postings(path: str):
                     size = 0
             uids, ns, ids, lengths = base
             one = pa.array(range(len(uids) + 1), pa.int32())
-            lists = [pa.ListArray.from_arrays(one, pa.array(x, pa.int64())) for x in (uids, ns)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(uids), pa.string()), *lists, pa.array(ids, pa.int64()), pa.array(lengths, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(uids), pa.string()), pa.ListArray.from_arrays(one, pa.array(uids, pa.int64())), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64())], schema=schema)
         yield from out()
 
     return run
@@ -136,14 +137,14 @@ def _resolve(path: str):
             rest = batch.filter(pa.compute.invert(base))
             lengths = np.diff(rest.column(1).offsets.to_numpy())
             uids = rest.column(1).flatten().to_numpy()
-            sums = rest.column(2).flatten().to_numpy() * np.repeat(factor[~base.to_numpy(zero_copy_only=False)], lengths)
+            sums = np.repeat(factor[~base.to_numpy(zero_copy_only=False)], lengths)
             ids, at = np.unique(uids, return_inverse=True)
             total = np.zeros(len(ids), np.int64)
             np.add.at(total, at, sums)
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total), none, none], names=["uid", "n", "doc_id", "n_bytes"])
             first = batch.filter(base)
-            yield pa.RecordBatch.from_arrays([first.column(1).flatten(), first.column(2).flatten(), first.column(3), first.column(4)], names=["uid", "n", "doc_id", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([first.column(1).flatten(), first.column(2), first.column(3), first.column(4)], names=["uid", "n", "doc_id", "n_bytes"])
 
     return run
 
@@ -157,7 +158,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or tokenizer_path()
     rows = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    sent = rows.mapInArrow(_postings(path), "pre string, uid array<long>, n array<long>, doc_id long, n_bytes long")
+    sent = rows.mapInArrow(_postings(path), "pre string, uid array<long>, n long, doc_id long, n_bytes long")
     sent = sent.withColumn("salt", F.when(F.col("pre").isNull(), F.get("uid", F.lit(0)))).repartition("pre", "salt").drop("salt").sortWithinPartitions("pre")
     parts = sent.mapInArrow(_resolve(path), "uid long, n long, doc_id long, n_bytes long")
     sums = parts.groupBy("uid").agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))

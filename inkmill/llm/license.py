@@ -1,9 +1,9 @@
 """License scans, DataFrame functions only.
 
 Headers (the lines of a text) and licence files (whole texts) are compared with licence templates by the
-cosine of sparse TF-IDF vectors. A text unit whose terms leave out every heavy term of a template can't
-reach the threshold (Cauchy-Schwarz on what is left of the template), so one pattern finds the texts
-worth exploding, and loses none. A licence file's licence holds for its directory; a document without a
+cosine of sparse TF-IDF vectors. Two bounds, neither of which loses a match, find the units worth
+exploding: a pattern (a unit without any heavy term of a template can't reach the threshold, by
+Cauchy-Schwarz on what is left of the template), then near() on the terms of the unit. A licence file's licence holds for its directory; a document without a
 licence of its own takes that of the nearest ancestor directory that has one, by joins on paths.
 """
 
@@ -33,6 +33,10 @@ TEMPLATES = {
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0."],
 }
 _TERM = re.compile(r"[a-z0-9]+")
+#: Words of any prose, the last to be taken as heavy terms.
+COMMON = frozenset("a an and are as at be by for from in is it may not of on or that the this to under use with you".split())
+#: More than the rounding of a cosine, which is to six digits.
+SLACK = 1e-5
 
 
 def _model() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float, list[str]]:
@@ -46,7 +50,7 @@ def _model() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float
         norm = math.sqrt(sum(w * w for w in weights.values()))
         rows += [(name, k, t, w / norm) for t, w in sorted(weights.items())]
         left = 1.0
-        for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        for t, w in sorted(weights.items(), key=lambda x: (x[0] in COMMON, -x[1], x[0])):
             if math.sqrt(max(left, 0)) < min(HEADER, FILE) - 1e-9:
                 break
             heavy.add(t)
@@ -58,16 +62,45 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def near(unit: Column, rows: list[tuple[str, int, str, float]], idf: dict[str, float], other: float) -> Column:
+    """False only where no template's cosine with unit can reach the threshold.
+
+    For a template w (of length 1) and the vector x of the unit, cosine <= |w on the terms that x has|, and
+    cosine = w.x / |x|, where |x|^2 is at least the sum of idf^2 over all words, repeats included.
+    """
+    least = min(HEADER, FILE) - SLACK
+    templates: dict[tuple[str, int], list] = {}
+    for name, k, term, w in rows:
+        templates.setdefault((name, k), []).append((term, w))
+    literal = lambda ts: F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("square"), F.lit(w * idf[t]).alias("part")) for t, w in ts])
+    fixed = F.array(*[literal(ts) for ts in templates.values()])
+    known = lambda words: F.filter(words, lambda x: x.isin(*sorted(idf)))
+    total = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + of(x))
+
+    def let(value: Column, of) -> Column:  # value is worked out once
+        return F.element_at(F.transform(F.array(value), of), 1)
+
+    def judge(v: Column) -> Column:
+        outside = (v["n"] - F.size(v["own"])) * F.lit(other * other)
+        short = lambda t: total(t, lambda x: F.when(F.array_contains(v["present"], x["term"]), x["square"]).otherwise(0.0)) >= least * least
+        dot = lambda t: total(t, lambda x: F.size(F.filter(v["own"], lambda y: y == x["term"])) * x["part"])
+        return F.exists(fixed, lambda t: short(t) & let(dot(t), lambda d: d * d >= F.lit(least * least) * (outside + F.size(v["own"]) * F.lit(min(idf.values()) ** 2))))
+
+    split = lambda ws: F.struct(F.size(ws).alias("n"), known(ws).alias("own"), F.array_distinct(known(ws)).alias("present"))
+    return let(_terms(unit), lambda ws: let(split(ws), judge))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, path, kind, license, cosine, line): the headers and files of docs(doc_id, path, text) that match, with the best template of each."""
     spark: SparkSession = docs.sparkSession
     rows, idf, other, heavy = _model()
     weights = spark.createDataFrame(rows, "license string, template int, term string, weight double")
-    # a word at a time: possessive runs keep the scan of long texts linear
-    worth = F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(heavy) + r")(?![a-z0-9])")
-    some = written(only(docs, "doc_id", "path", "text").where(F.col("text").isNotNull() & worth), "licensed")
-    line = some.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(heavy) + r")(?![a-z0-9])"))
-    units = line.withColumn("kind", F.lit("header")).unionByName(some.select("doc_id", "path", F.lit(-1).alias("line"), F.col("text").alias("unit"), F.lit("file").alias("kind")))
+    worth = r"(?i)(?<![a-z0-9])(?:" + "|".join(heavy) + r")(?![a-z0-9])"
+    lines = F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("line"), x.alias("unit")))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    units = only(docs, "doc_id", "path", "text").where(F.col("text").isNotNull() & F.col("text").rlike(worth)).select("doc_id", "path", F.inline(F.concat(whole, lines)))
+    units = units.where(F.col("unit").rlike(worth)).where(near(F.col("unit"), rows, idf, other))
+    units = written(units.withColumn("kind", F.when(F.col("line") < 0, "file").otherwise("header")), "licensed")
     key = ["doc_id", "path", "kind", "line"]
     terms = units.select(*key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
     # the templates' own terms: fixed in number

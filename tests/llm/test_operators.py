@@ -239,6 +239,31 @@ def test_licences_and_inheritance(spark):
     assert found == {1: ("Apache-2.0", None, None), 2: (None, "MIT", "a/b"), 3: ("MIT", None, None), 4: (None, "MIT", "a/b"), 5: (None, None, None), 6: ("CC-BY-NC-4.0", None, None), 7: (None, None, None)}
 
 
+def test_licence_bounds_lose_no_match(spark):
+    rows, idf, other, heavy = license._model()
+    weights = collections.defaultdict(dict)
+    for name, k, term, w in rows:
+        weights[name, k][term] = w
+    rng, units = random.Random(4), [None, "", "...", "the " * 3000, "MIT " * 500, *[t for ts in license.TEMPLATES.values() for t in ts]]
+    for t in units[5:] * 12:
+        words = [w for w in t.split() if rng.random() < 0.8] + [rng.choice(["x", "the", "license", "of", "word", "Version"]) for _ in range(rng.randint(0, 12))]
+        rng.shuffle(words)
+        units.append(" ".join(words))
+    want = {}
+    for i, t in enumerate(units):
+        c = collections.Counter(re.findall("[a-z0-9]+", (t or "").lower()))
+        x = {term: n * idf.get(term, other) for term, n in c.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5 or 1
+        want[i] = max(sum(x.get(term, 0) * w for term, w in ws.items()) for ws in weights.values()) / norm
+    df = spark.createDataFrame(list(enumerate(units)), "doc_id long, text string").withColumn("path", F.concat(F.lit("p"), F.col("doc_id"))).withColumn("line", F.lit("clash")).withColumn("n", F.lit(1))
+    near = got(df.select("doc_id", license.near(F.col("text"), rows, idf, other).alias("near")), "doc_id", "near")
+    assert all(near[i][0] for i, c in want.items() if c >= 0.7) and not near[3][0]
+    found = {r.doc_id: r.cosine for r in license.scanned(df).where("kind = 'file'").collect()}
+    assert found == {i: pytest.approx(c, abs=2e-6) for i, c in want.items() if c >= 0.7}
+    assert 30 < len(found) < len(units) - 30
+    assert license.licensed(df.limit(0)).count() == 0 and license.licensed(df.union(df)).count() == 2 * len(units)
+
+
 def test_main_text(spark):
     page = '<html><body class="has-sidebar"><nav>menu</nav><div class="ad">buy</div><article><h1>T &amp; x</h1><p><b>one\n two<br><p>three</p><section id="comments">first!</section><form>f</form></article><footer>f</footer>'
     assert html_main.main_text(page) == "T & x\none two\nthree"

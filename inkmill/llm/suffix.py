@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from inkmill.llm.common import free, only, table, written
 DEPTH, PIECE = 100, 24
 #: Text of a block, about; windows of a batch; stretches of a hash over which it is cut into windows.
 BLOCK_BYTES, BATCH_WINDOWS, HOT = 8 << 20, 50_000, 256
+#: Windows that a partition has in memory at a time, about; bytes of a mark, which stands for a window of a cut stretch.
+INDEX_WINDOWS, MARK = 400_000, 16
 _LAST = (1 << 63) - 1
 ALL, FIRST, MIXED, CUT = 0, 1, 2, 3
 
@@ -211,32 +214,35 @@ def _find(rows: pa.Table, told: pa.Table) -> pa.Table:
         out.append(_rows(block, b.owner[gone], b.start[gone], b.n[gone]))
         mixed = np.flatnonzero((kind == MIXED) & first)
         out.append(_rows(block, b.owner[mixed], b.start[mixed], b.n[mixed], b.a[mixed], b.doc[mixed], b.at[mixed], [b.texts[k][s : s + n + DEPTH - 1] for k, s, n in zip(b.owner[mixed], b.start[mixed], b.n[mixed], strict=True)]))
-        seen: set[bytes] = set()
-        cut: tuple[list, ...] = ([], [], [], [], [], [])
-        again: tuple[list, ...] = ([], [])
-        for j in np.flatnonzero((kind == CUT) & first).tolist():
-            k, s, n, doc, place = int(b.owner[j]), int(b.start[j]), int(b.n[j]), int(b.doc[j]), int(b.at[j])
-            text = b.texts[k]
-            for w in range(n):
-                mark = xxhash.xxh3_128_digest(text[s + w : s + w + DEPTH])
-                if mark in seen:
-                    again[0].append(k)
-                    again[1].append(s + w)
-                    continue
-                seen.add(mark)
-                for column, x in zip(cut, (k, s + w, int.from_bytes(mark[:8], "little", signed=True), doc, place + w, mark.hex().encode()), strict=True):
-                    column.append(x)
-        out.append(_rows(block, again[0], again[1], [1] * len(again[0])))
-        out.append(_rows(block, cut[0], cut[1], [1] * len(cut[0]), np.array(cut[2], np.int64).view(np.uint64), *cut[3:]))
+        out += _cut_up(b, block, np.flatnonzero((kind == CUT) & first))
     return pa.concat_tables(out) if out else _rows(0, [], [], [])
 
 
+def _cut_up(b: _Block, block: int, cut: np.ndarray) -> list[pa.Table]:
+    """The windows of the stretches `cut`: entries known by their marks, and runs of those that the block holds earlier. Arrays, as they may be most of a block."""
+    digest, n = xxhash.xxh3_128_digest, b.n[cut]
+    parts = [b"".join([digest(text[w : w + DEPTH]) for w in range(s, s + m)]) for text, s, m in zip((b.texts[k] for k in b.owner[cut].tolist()), b.start[cut].tolist(), n.tolist(), strict=True)]
+    mark = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+    del parts
+    order = np.lexsort((mark[:, 1], mark[:, 0]))
+    new = np.ones(len(order), bool)
+    new[order[1:]] = (mark[order[1:]] != mark[order[:-1]]).any(axis=1)  # lexsort is stable: the earliest of each mark
+    del order
+    which, offset = np.repeat(cut, n), np.arange(len(mark)) - np.repeat(np.cumsum(n) - n, n)
+    fresh, again = np.flatnonzero(new), np.flatnonzero(~new)
+    one = lambda x: np.ones(len(x), np.int64)
+    ends = pa.array(np.arange(0, MARK * len(fresh) + 1, MARK, dtype=np.int32)).buffers()[1]
+    content = pa.Array.from_buffers(pa.binary(), len(fresh), [None, ends, pa.py_buffer(np.ascontiguousarray(mark[fresh]))])
+    w, o = which[fresh], offset[fresh]
+    return [_rows(block, b.owner[which[again]], b.start[which[again]] + offset[again], one(again)), _rows(block, b.owner[w], b.start[w] + o, one(w), mark[fresh, 0], b.doc[w], b.at[w] + o, content)]
+
+
 def _rows(block: int, k, start, n, key=None, doc=None, at=None, content=None) -> pa.Table:
     m = len(k)
     long = lambda x: pa.nulls(m, pa.int64()) if x is None else pa.array(np.asarray(x, np.int64))
     return pa.table({
         "block": pa.array(np.full(m, block), pa.int64()), "k": long(k), "start": long(start), "n": long(n), "key": pa.nulls(m, pa.int64()) if key is None else _u(key), "doc": long(doc), "at": long(at),
-        "content": pa.nulls(m, pa.binary()) if content is None else pa.array(content, pa.binary()),
+        "content": pa.nulls(m, pa.binary()) if content is None else content if isinstance(content, pa.Array) else pa.array(content, pa.binary()),
     })
 
 
@@ -244,20 +250,30 @@ RUNS = "block long, k long, start long, n long"
 
 
 def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes a partition's entries through its index, batch after batch in the order of places, and yields the runs of windows seen earlier."""
-    batches = list(it)
-    if not batches:
+    """Takes a partition's entries through its indexes and yields the runs of windows seen earlier. Windows are equal only under the same key, so each range of keys has an index of its own, one in memory at a time."""
+    t = pa.Table.from_batches(batches) if (batches := list(it)) else None
+    if t is None or not t.num_rows:
         return
-    t = pa.Table.from_batches(batches)
-    doc, at = t.column("doc").to_numpy(), t.column("at").to_numpy()
-    t = t.take(pa.array(np.lexsort((at, doc))))
+    del batches
+    t = t.take(pa.array(np.lexsort((t.column("at").to_numpy(), t.column("doc").to_numpy()))))
+    key, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    marks = pc.equal(pc.binary_length(t.column("content")), MARK).to_numpy()
+    shares = -(-int(n.sum()) // INDEX_WINDOWS)
+    share = (key % np.uint64(shares)).astype(np.int64)
+    for kind, cut in ((marks, lambda c: np.frombuffer(b"".join(c), f"S{MARK}")), (~marks, lambda c: np.concatenate([windows_of(x) for x in c]))):
+        for k in range(shares):
+            if len(own := np.flatnonzero(kind & (share == k))):
+                yield from _through(t.take(pa.array(own)), cut)
+
+
+def _through(t: pa.Table, cut) -> Iterator[pa.RecordBatch]:
+    """Takes entries through an index, batch after batch in the order of places; cut gives the windows of some entries."""
     n = t.column("n").to_numpy()
     index, ends, a = LogIndex(), np.cumsum(n), 0
     while a < len(n):
         z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_WINDOWS, "right")))
         part = t.slice(a, z - a)
-        windows = [windows_of(c) if len(c) >= DEPTH else np.array([c], f"S{DEPTH}") for c in part.column("content").to_pylist()]
-        seen = index.add(np.concatenate(windows))
+        seen = index.add(cut(part.column("content").to_pylist()))
         # runs within each entry
         which = np.repeat(np.arange(z - a), n[a:z])
         offset = np.arange(len(which)) - np.repeat(ends[a:z] - n[a:z] - (ends[a] - n[a]), n[a:z])

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -99,6 +100,34 @@ def test_suffix_with_a_passage_in_more_documents_than_hot(spark):
     assert got(suffix.deduplicated(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")), *SUFFIX) == cut_by_force(every)
 
 
+def test_index_shares_lose_no_match(monkeypatch):
+    rng = random.Random(8)
+    base = {k: bytes(rng.randrange(32, 127) for _ in range(160)) for k in range(30)}
+    rows = []
+    for i in range(400):
+        key = rng.randrange(30)
+        if key % 3 == 0:
+            rows.append((0, i, 0, 1, key, i, 0, bytes([key, rng.randrange(4)]) + bytes(14)))
+        else:
+            at = rng.randrange(40)
+            rows.append((0, i, 0, 21, key, i, 0, base[key][at : at + 120]))
+    rng.shuffle(rows)
+    names = ["block", "k", "start", "n", "key", "doc", "at", "content"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(x, pa.int64()) for x in names[:-1]] + [("content", pa.binary())]))
+    seen, want = set(), set()
+    for _, k, _, n, key, _, _, content in sorted(rows, key=lambda r: r[5]):
+        for w in range(n):
+            window = (key, content[w : w + 100])
+            if window in seen:
+                want.add((k, w))
+            seen.add(window)
+    for windows in (10**6, 700):
+        monkeypatch.setattr(suffix, "INDEX_WINDOWS", windows)
+        found = [r for b in suffix._scan(iter([batch])) for r in b.to_pylist()]
+        assert {(r["k"], r["start"] + j) for r in found for j in range(r["n"])} == want
+    assert list(suffix._scan(iter([batch.slice(0, 0)]))) == [] and list(suffix._scan(iter([]))) == []
+
+
 def test_log_index_levels_shrink():
     index, seen, rng = suffix.LogIndex(), set(), random.Random(2)
     for _ in range(40):

@@ -48,15 +48,18 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Mixes x in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class _Grams:
-    """The n-grams of a block's texts: for each order, a hash per token whose context is inside its text, and its place."""
+    """The n-grams of a block's texts: for each order, a hash per token whose context is inside its text. One order is in memory at a time."""
 
-    def __init__(self, texts: list[bytes], order: int, bits: int):
+    def __init__(self, texts: list[bytes], order: int):
         seen: dict[bytes, int] = {}
         digest = xxhash.xxh3_64_intdigest
         tokens, lengths = [], []
@@ -68,26 +71,41 @@ class _Grams:
                 if h is None:
                     h = seen[w] = digest(w)
                 tokens.append(h)
-        h = np.array(tokens, np.uint64)
+        self.h = np.array(tokens, np.uint64)
         del tokens, seen
-        self.lengths = np.array(lengths, np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
-        begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])) if len(texts) else np.zeros(0, np.int64)
-        self.offset = np.arange(len(h)) - np.repeat(begin, self.lengths)
-        shift, self.hashes, self.places = np.uint64(64 - bits), [], []
-        gram = _mix(h)
+        self.order, self.lengths = order, np.array(lengths, np.int64)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        #: words before each token in its text, order at most
+        self.before = np.full(len(self.h), order, np.uint16)
         for k in range(order):
+            self.before[self.begin[self.lengths > k] + k] = k
+
+    def each(self, bits: int, places: bool):
+        """For each order in turn: distinct hashes ascending, which of them each token has (the tokens with enough words before them, if places), their counts."""
+        gram = _mix(self.h.copy())
+        for k in range(self.order):
             if k:
                 # the gram of order k + 1 that ends at each token: that of order k ending before it, and the token
-                gram = _mix(np.concatenate(([np.uint64(0)], gram[:-1])) * np.uint64(0x9E3779B97F4A7C15) + h)
-            at = np.flatnonzero(self.offset >= k)
-            self.places.append(at)
-            self.hashes.append(gram[at] >> shift)
-
-    def distinct(self):
-        """For each order in turn, so that one is in memory: distinct hashes ascending, which of them each place has, their counts."""
-        for x in self.hashes:
-            yield np.unique(x, return_inverse=True, return_counts=True)
+                gram[1:] = gram[:-1]
+                gram[:1] = 0
+                gram *= np.uint64(0x9E3779B97F4A7C15)
+                gram += self.h
+                _mix(gram)
+            x, at = gram[self.before >= k] >> np.uint64(64 - bits), None
+            if places:
+                array = np.argsort(x)
+                x = x[array]
+            else:
+                x.sort()
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            heads = np.flatnonzero(new)
+            if places:
+                at = np.empty(len(x), np.int32)
+                at[array] = np.cumsum(new, dtype=np.int32) - 1
+                del array
+            x = x[heads]
+            yield k, x, at, np.diff(np.append(heads, len(new)))
 
 
 def _texts(rows: pa.Table) -> list[bytes]:
@@ -108,7 +126,7 @@ def _send(order: int, bits: int, shards: int):
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
         out = [{"shard": s, "block": block, "tokens": 0, "grams": [], "counts": []} for s in range(shards)]
-        for k, (x, _, n) in enumerate(_Grams(_texts(rows), order, bits).distinct()):
+        for k, x, _, n in _Grams(_texts(rows), order).each(bits, False):
             bounds = _bounds(x, shards, bits)
             for row, lo, hi in zip(out, bounds, bounds[1:], strict=False):
                 row["grams"].append(pack(x[lo:hi]))
@@ -143,30 +161,30 @@ SCORED = "doc_id long, n_tokens long, log_score double, n_backed_off long"
 
 def _score(order: int, bits: int, n: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        g = _Grams(_texts(rows), order, bits)
-        size = len(g.owner)
-        counts = []
-        t = answers.sort_by("shard").to_pydict()
-        for k, (x, at, _) in enumerate(g.distinct()):
-            total = np.concatenate([unpack_counts(a[k]) for a in t["totals"]]) if size else np.zeros(0, np.int64)
+        g = _Grams(_texts(rows), order)
+        size = len(g.h)
+        score, backed, last = np.zeros(size), np.zeros(size, bool), None
+        t = answers.sort_by("shard").column("totals").to_pylist()
+        # upwards: a known n-gram's own ratio takes the place of what its token had from the order below
+        for k, x, at, _ in g.each(bits, True):
+            total = np.concatenate([unpack_counts(a[k]) for a in t]) if size else np.zeros(0, np.int64)
             assert len(total) == len(x), "a block and its answers differ"
-            each = np.zeros(size, np.int64)
-            each[g.places[k]] = total[at]
-            counts.append(each)
-        score, left, backed = np.zeros(size), np.ones(size, bool), np.zeros(size, bool)
-        for k in range(order - 1, -1, -1):
-            # a token with fewer words before it starts at the order it has
-            has = left & (g.offset >= k) & (counts[k] > 0)
-            context = np.full(size, n) if k == 0 else np.concatenate(([1], counts[k - 1][:-1]))
-            score[has] += np.log(counts[k][has] / context[has])
-            left &= ~has
-            more = left & (g.offset >= k)
+            has = g.before >= k
+            count = np.zeros(size, np.int64)
+            count[has] = total[at]
+            del total, at, x
+            known = np.flatnonzero(count > 0)
             if k:
-                score[more] += math.log(BACKOFF)
-                backed |= more
-        sums = np.bincount(g.owner, score, len(g.lengths)) if size else np.zeros(len(g.lengths))
-        off = np.bincount(g.owner, backed, len(g.lengths)) if size else np.zeros(len(g.lengths))
-        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(g.lengths), "log_score": pa.array(sums), "n_backed_off": pa.array(off.astype(np.int64))})
+                missing = has & (count == 0)
+                score[missing] += math.log(BACKOFF)
+                backed[has] = missing[has]
+            score[known] = np.log(count[known] / (last[known - 1] if k else n))
+            last = count
+        some = g.lengths > 0
+        sums, off = np.zeros(len(g.lengths)), np.zeros(len(g.lengths), np.int64)
+        if size:
+            sums[some], off[some] = np.add.reduceat(score, g.begin[some]), np.add.reduceat(backed.astype(np.int64), g.begin[some])
+        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(g.lengths), "log_score": pa.array(sums), "n_backed_off": pa.array(off)})
 
     return run
 

@@ -82,16 +82,18 @@ def position(part: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, part).otherwise((F.sqrt(F.greatest(a * a + 4 * tilt * part, F.lit(0.0))) - a) / (2 * tilt))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text, source): size, source_size, target, taken, position, sorted by position.
+def mixed(docs: DataFrame, *keys: str) -> DataFrame:
+    """For each row of docs(doc_id, text, source): keys, size, source_size, target, taken, position, positions, sorted by position.
 
     taken is the words that the mix takes, repeats counted: every whole pass over the source, and one more
     of the documents that come first in its order; the document at the boundary gives the words that are
-    left, so that a source's taken words are its target, rounded. Null texts have no words and null
-    sources are one source, last in order. Positions past the last word demanded are null (taken is 0).
+    left, so that a source's taken words are its target, rounded. positions has a place for each time that the
+    document is taken: the k-th pass over a source is needed at the words before the document and k times the
+    source's size; position is the first. Null texts have no words and null
+    sources are one source, last in order. A document that isn't taken has no positions, and null as position.
     An empty table gives an empty result; repeated rows are documents of their own.
     """
-    sizes = only(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = only(docs, *keys, "doc_id", "text", "source").select(*keys, "doc_id", "source", word_count(F.col("text")).alias("size"))
     sizes = written(sizes.withColumn("order", F.xxhash64(F.lit(SEED), "doc_id")), "sizes")
     rows = sizes.count()
     per = written(targets(sizes), "targets").withColumnRenamed("source", "t_source")
@@ -103,9 +105,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     rest = goal - passes * F.col("source_size")
     extra = F.greatest(F.lit(0), F.least("size", rest - F.col("before")))
     df = df.withColumn("taken", (passes * F.col("size") + extra).cast("long"))
-    part = F.when(goal > 0, F.least(F.lit(1.0), F.col("before") / goal))
-    df = df.withColumn("position", F.when(F.col("taken") > 0, F.abs(position(part, F.col("tilt")))))
-    return df.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    # a document is taken once in each whole pass, and once more if the pass that is cut short reaches it
+    times = F.when(F.col("taken") > 0, passes + F.when(extra > 0, 1).otherwise(0)).otherwise(0)
+    demand = lambda k: F.least(F.lit(1.0), (F.col("before") + k * F.col("source_size")) / goal)
+    nth = F.when(times > 0, F.transform(F.sequence(F.lit(0).cast("long"), times - 1), lambda k: F.abs(position(demand(k), F.col("tilt")))))
+    df = df.withColumn("positions", F.coalesce(nth, F.array().cast("array<double>"))).withColumn("position", F.get("positions", F.lit(0)))
+    return df.select(*keys, "doc_id", "size", "source_size", "target", "taken", "position", "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -113,7 +118,8 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with taken and position, sorted by position."""
-    plan = mixed(docs).where("taken > 0").select("doc_id", "taken", "position").dropDuplicates(["doc_id"])
-    return docs.drop("taken", "position").join(plan, "doc_id").orderBy("position", "doc_id")
-
+    """The documents that the mix takes, a row each time, with pass, taken (words) and position, sorted by position."""
+    plan = mixed(docs).where("taken > 0").select("doc_id", "size", "taken", "positions").dropDuplicates(["doc_id"])
+    plan = plan.select("doc_id", "size", F.col("taken").alias("of_all"), F.posexplode("positions").alias("pass", "position"))
+    plan = plan.select("doc_id", "pass", F.least("size", F.col("of_all") - F.col("pass") * F.col("size")).alias("taken"), "position")
+    return docs.drop("pass", "taken", "position").join(plan, "doc_id").orderBy("position", "doc_id", "pass")

@@ -201,6 +201,28 @@ def test_mixing(spark, docs):
     assert mixing.mixed(empty(spark)).count() == 0
 
 
+def test_every_pass_of_the_mix_has_a_position(spark, docs):
+    found = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    assert max(len(r.positions) for r in found.values()) > 1
+    order = [r.asDict() for r in mixing.in_order(docs).collect()]
+    assert [r["position"] for r in order] == sorted(r["position"] for r in order)
+    assert collections.Counter(r["doc_id"] for r in order) == {i: len(r.positions) for i, r in found.items() if r.taken}
+    words = collections.Counter()
+    for r in order:
+        words[r["doc_id"]] += r["taken"]
+    assert words == {i: r.taken for i, r in found.items() if r.taken}
+    names = ["s0", "s1", "s2", None]
+    for k, s in enumerate(names):
+        tilt, at, mine = mixing.TILTS[k % 3], 0, [r for r in order if source[r["doc_id"]] == s]
+        goal = round(found[mine[0]["doc_id"]].target)
+        for r in sorted(mine, key=lambda r: (r["pass"], r["position"])):  # the words taken before a row are the demand at its position
+            t = r["position"]
+            assert (1 - tilt) * t + tilt * t * t == pytest.approx(at / goal, abs=1e-9)
+            at += r["taken"]
+        assert at == goal
+
+
 def test_scores(spark, docs):
     import math
 

@@ -51,13 +51,18 @@ def blocks(fp: str) -> Column:
     return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:], strict=False)])
 
 
+def keyed_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, text): item tells rows of different ids or texts apart, rows without an id too."""
+    return only(benchmark, "item_id", "text").withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", F.col("text").isNull(), "text"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, th, item_id, start, similarity): the windows found, at their word offset. th is the hash of the row's text."""
+    """(doc_id, th, item, start, similarity): the windows found, at their word offset. th is the hash of the row's text, item the key of keyed_items()."""
     keyed = only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
-    items = shingled(only(benchmark, "item_id", "text").where("item_id is not null").dropDuplicates(["item_id"]), "item_id").where("n > 0")
+    items = shingled(keyed_items(benchmark).dropDuplicates(["item"]), "item").where("n > 0")
     items = written(items, "items")
-    places = items.select("item_id", F.col("n").alias("item_n"), F.size("g").alias("size"), F.posexplode_outer("g").alias("j", "h"))
-    item_counts = places.groupBy("item_id", "h").agg(F.count("*").alias("ci"))
+    places = items.select("item", F.col("n").alias("item_n"), F.size("g").alias("size"), F.posexplode_outer("g").alias("j", "h"))
+    item_counts = places.groupBy("item", "h").agg(F.count("*").alias("ci"))
     bounded = small_enough(places, MOST_BROADCAST)
     hint = F.broadcast if bounded else (lambda x: x)
 
@@ -65,13 +70,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # outer: else the optimizer would infer a filter from the explode and compute the words again for each shingle
     g = shingled(keyed, "doc_id", "th")
     hits = g.select("doc_id", "th", F.col("n").alias("doc_n"), F.posexplode_outer("g").alias("p", "h")).join(hint(places), "h")
-    hits = written(hits.select("doc_id", "th", "doc_n", "p", "item_id", "item_n", "size", "j"), "hits")
-    enough = hits.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("p").alias("n"), F.first("size").alias("size")).where(F.col("n") >= SIMILARITY * F.col("size"))
-    enough = enough.select("doc_id", "th", "item_id").withColumnsRenamed({"doc_id": "e_doc", "th": "e_th", "item_id": "e_item"})
-    live = hits.join(enough, hits.doc_id.eqNullSafe(enough.e_doc) & (hits.th == enough.e_th) & (hits.item_id == enough.e_item))
+    hits = written(hits.select("doc_id", "th", "doc_n", "p", "item", "item_n", "size", "j"), "hits")
+    enough = hits.groupBy("doc_id", "th", "item").agg(F.countDistinct("p").alias("n"), F.first("size").alias("size")).where(F.col("n") >= SIMILARITY * F.col("size"))
+    enough = enough.select("doc_id", "th", "item").withColumnsRenamed({"doc_id": "e_doc", "th": "e_th", "item": "e_item"})
+    live = hits.join(enough, hits.doc_id.eqNullSafe(enough.e_doc) & (hits.th == enough.e_th) & (hits.item == enough.e_item))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("doc_n") - F.col("item_n")))
     length = F.greatest(F.lit(1), F.least("item_n", "doc_n") - SHINGLE + 1)
-    windows = written(live.select("doc_id", "th", "item_id", "size", start.alias("start"), length.alias("length")).distinct(), "windows")
+    windows = written(live.select("doc_id", "th", "item", "size", start.alias("start"), length.alias("length")).distinct(), "windows")
 
     # the shingles of those windows alone, from the documents that have one
     owners = windows.select(F.col("doc_id").alias("o_doc"), F.col("th").alias("o_th")).distinct()
@@ -79,39 +84,43 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = keyed.join(owners, keyed.doc_id.eqNullSafe(owners.o_doc) & (keyed.th == owners.o_th), "left_semi").dropDuplicates(["doc_id", "th"])
     held = shingled(held, "doc_id", "th").withColumnsRenamed({"doc_id": "h_doc", "th": "h_th"})
     inside = windows.join(held, windows.doc_id.eqNullSafe(held.h_doc) & (windows.th == held.h_th))
-    inside = inside.select("doc_id", "th", "item_id", "size", "start", F.explode_outer(F.slice("g", F.col("start") + 1, F.col("length"))).alias("h"))
-    key = ["doc_id", "th", "item_id", "size", "start"]
+    inside = inside.select("doc_id", "th", "item", "size", "start", F.explode_outer(F.slice("g", F.col("start") + 1, F.col("length"))).alias("h"))
+    key = ["doc_id", "th", "item", "size", "start"]
     counted = written(inside.groupBy(*key, "h").agg(F.count("*").alias("c")), "counted")
 
     # written, or the optimizer would copy their 64 cases into each of the blocks
     window_fp = written(hashed(counted, *key), "window-prints")
-    item_fp = written(hashed(item_counts.withColumnRenamed("ci", "c"), "item_id"), "item-prints").select(F.col("item_id").alias("i_item"), F.col("fp").alias("i_fp"))
+    item_fp = written(hashed(item_counts.withColumnRenamed("ci", "c"), "item"), "item-prints").select(F.col("item").alias("i_item"), F.col("fp").alias("i_fp"))
     by_block = window_fp.select(*key, "total", "fp", F.posexplode(blocks("fp")).alias("b", "v"))
     items_by_block = item_fp.select("i_item", "i_fp", F.posexplode(blocks("i_fp")).alias("i_b", "i_v"))
-    near = by_block.join(items_by_block, (F.col("item_id") == F.col("i_item")) & (F.col("b") == F.col("i_b")) & (F.col("v") == F.col("i_v")))
+    near = by_block.join(items_by_block, (F.col("item") == F.col("i_item")) & (F.col("b") == F.col("i_b")) & (F.col("v") == F.col("i_v")))
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp"))) <= RADIUS).select(*key, "total").distinct()
 
-    shared = counted.join(item_counts, ["item_id", "h"]).groupBy(*key).agg(F.sum(F.least("c", "ci")).alias("shared"))
+    shared = counted.join(item_counts, ["item", "h"]).groupBy(*key).agg(F.sum(F.least("c", "ci")).alias("shared"))
     shared = shared.withColumnsRenamed({k: f"s_{k}" for k in key})
     on = reduce(lambda x, y: x & y, [near[k].eqNullSafe(shared[f"s_{k}"]) for k in key])
     similarity = F.col("shared") / (F.col("size") + F.col("total") - F.col("shared"))
-    return near.join(shared, on).withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY).select("doc_id", "th", "item_id", "start", "similarity")
+    return near.join(shared, on).withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY).select("doc_id", "th", "item", "start", "similarity")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, contaminated, n_items, item_ids (ascending), similarity (the highest; null if none).
 
-    Rows with null or empty text match nothing, nor do items without words or id. Of rows that repeat an
-    item_id one is used. An item or document of fewer than five words has one shingle, the whole of it, so
+    Rows with null or empty text match nothing, nor do items without words. Benchmark rows that repeat an
+    item_id with different texts are matched one by one; those without an id count as items of n_items, one
+    for each text, but have no place in item_ids. An item or document of fewer than five words has one shingle, the whole of it, so
     they match each other only if equal. Repeated documents each have their row. Empty tables match nothing.
     """
     found = written(matches(docs, benchmark), "matches")
-    per = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.round(F.max("similarity"), 6).alias("similarity"))
+    ids = keyed_items(benchmark).select("item", "item_id").distinct()
+    found = found.join(F.broadcast(ids) if small_enough(ids, MOST_BROADCAST) else ids, "item")
+    nameless = F.count_distinct(F.when(F.col("item_id").isNull(), F.col("item"))).alias("nameless")
+    per = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), nameless, F.round(F.max("similarity"), 6).alias("similarity"))
     per = per.withColumnsRenamed({"doc_id": "m_doc", "th": "m_th"})
     rows = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"))
     out = rows.join(per, rows.doc_id.eqNullSafe(per.m_doc) & (rows.th == per.m_th), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.cast("array<bigint>").alias("item_ids"), "similarity")
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), (F.size(ids) + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), ids.cast("array<bigint>").alias("item_ids"), "similarity")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -284,6 +284,15 @@ def test_decontamination(spark):
     assert not any(x[0] for x in got(decontam.decontaminated(d, b.limit(0)), "doc_id", "contaminated").values())
 
 
+def test_decontamination_by_every_benchmark_row(spark):
+    t = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    b = spark.createDataFrame([(1, t[0]), (1, t[1]), (1, t[1]), (None, t[2]), (2, None), (None, None), (3, t[1])], "item_id long, text string")
+    d = spark.createDataFrame([(k, f"x y {x} z") for k, x in enumerate(t)] + [(9, " ".join(t[:3]))], "doc_id long, text string")
+    found = got(decontam.decontaminated(d, b), "doc_id", "contaminated", "n_items", "item_ids")
+    assert found == {0: (True, 1, [1]), 1: (True, 2, [1, 3]), 2: (True, 1, []), 3: (False, 0, []), 9: (True, 3, [1, 3])}
+    assert [r.doc_id for r in decontam.without_leaks(d, b).collect()] == [3]
+
+
 def test_licences_and_inheritance(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/x", "words\nmore"), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "a/b/c/y", None), (5, "z", "text about the of in"), (6, "a/b/w", "code\nLicensed under CC BY-NC 4.0.\ncode code"), (7, None, "")]
     found = got(license.licensed(spark.createDataFrame(rows, "doc_id long, path string, text string")), "doc_id", "own_license", "inherited_license", "inherited_from")

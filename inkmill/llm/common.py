@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: space, and tab to carriage return.
@@ -52,6 +52,21 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_key(*names: str) -> Column:
+    """A hash of the named columns, nulls told apart: rows with the same key are alike in them."""
+    return F.xxhash64(*[x for n in names for x in (F.col(n).isNull(), F.col(n))])
+
+
+#: What tells rows of documents apart: those alike in these are interchangeable.
+ROW = ("doc_id", "text", "lang", "source")
+
+
+def numbered(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with _key, the row_key() of names, and _n, which numbers rows of the same key from 1."""
+    docs = docs.withColumn("_key", row_key(*names))
+    return docs.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*[n for n in ROW if n in docs.columns and n != "text"])))
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has most_rows at most; reads no more than that."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -129,5 +129,5 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that match no benchmark item."""
-    bad = decontaminated(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = matches(docs, benchmark).select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.b_doc) & (F.xxhash64(docs.text) == bad.b_th), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, table, written
+from inkmill.llm.common import ROW, numbered, only, row_key, table, written
 from inkmill.llm.quality import words_of
 
 SHARE, MOST_REPEATS, WEIGHTS, SEED = 1.5, 2, (5.0, 2.0, 1.0), 42
@@ -98,7 +98,7 @@ def mixed(docs: DataFrame, *keys: str) -> DataFrame:
     rows = sizes.count()
     per = written(targets(sizes), "targets").withColumnRenamed("source", "t_source")
     # equal rows must not depend on how they are dealt: they are alike in all that counts here
-    ordered = running(sizes, "source", "order", "size", "doc_id", rows)
+    ordered = running(sizes, "source", "order", "size", keys[0] if keys else "doc_id", rows)
     df = ordered.join(per, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
@@ -119,7 +119,11 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 def in_order(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, a row each time, with pass, taken (words) and position, sorted by position."""
-    plan = mixed(docs).where("taken > 0").select("doc_id", "size", "taken", "positions").dropDuplicates(["doc_id"])
-    plan = plan.select("doc_id", "size", F.col("taken").alias("of_all"), F.posexplode("positions").alias("pass", "position"))
-    plan = plan.select("doc_id", "pass", F.least("size", F.col("of_all") - F.col("pass") * F.col("size")).alias("taken"), "position")
-    return docs.drop("pass", "taken", "position").join(plan, "doc_id").orderBy("position", "doc_id", "pass")
+    docs = docs.drop("pass", "taken", "position")
+    plan = mixed(docs.withColumn("_key", row_key(*ROW)), "_key").where("taken > 0")
+    # equal rows have the same key: each takes one of their plans
+    plan = plan.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("positions", "size", "taken"))).alias("_plans"))
+    rows = numbered(docs, *ROW).join(plan, "_key").withColumn("_plan", F.get("_plans", F.col("_n") - 1)).where("_plan is not null")
+    rows = rows.select(*docs.columns, F.col("_plan.size").alias("_size"), F.col("_plan.taken").alias("_all"), F.posexplode("_plan.positions").alias("pass", "position"))
+    rows = rows.withColumn("taken", F.least("_size", F.col("_all") - F.col("pass") * F.col("_size")))
+    return rows.select(*docs.columns, "pass", "taken", "position").orderBy("position", "doc_id", "pass")

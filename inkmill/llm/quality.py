@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import SPACE, SPACE_CHARS, only, small_enough, table, written
+from inkmill.llm.common import ROW, SPACE, SPACE_CHARS, only, row_key, small_enough, table, written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 50
 #: Fence: so many interquartile ranges above the median, and at least so much above it.
@@ -110,13 +110,13 @@ def fences(rates: DataFrame) -> DataFrame:
     return out.select("lang", "source", *[fence(r) for r in names])
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text, lang, source): its counts, rates and fences, base_failed, kept.
+def judged(docs: DataFrame, *keys: str) -> DataFrame:
+    """For each row of docs(doc_id, text, lang, source): keys, its counts, rates and fences, base_failed, kept.
 
     Null or empty text: no words, so base_failed. Null languages and sources are groups of their own.
     Repeated rows are judged one by one. An empty table gives an empty result.
     """
-    counts = written(rated(counted(only(docs, "doc_id", "text", "lang", "source"), "doc_id", "lang", "source")), "counts")
+    counts = written(rated(counted(only(docs, *keys, "doc_id", "text", "lang", "source"), *keys, "doc_id", "lang", "source")), "counts")
     limits = written(fences(counts).withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), "fences")
     if small_enough(limits, MOST_BROADCAST):
         limits = F.broadcast(limits)  # else a source with a third of the rows would be one task
@@ -135,5 +135,6 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep."""
-    kept = judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    keyed = docs.withColumn("_key", row_key(*ROW))
+    kept = judged(keyed, "_key").where("kept").select("_key").distinct()
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, table
+from inkmill.llm.common import ROW, numbered, only, row_key, table, written
 from inkmill.llm.graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -121,8 +121,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows stay; an empty
     table gives an empty result; rows whose doc_id is null stay, and never name a component of others.
     """
-    from inkmill.llm.common import written
-
     fps = written(fingerprints(docs), "fp")
     points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "points")
     label = components(points.select(F.col("fp").alias("node")), links(points.select("fp")))
@@ -142,7 +140,11 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are first in their component: one document of each group of near copies stays."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of docs for each group of near copies: the one of the least doc_id, those without an id last."""
+    rows = docs.withColumn("_key", row_key(*ROW))
+    fps = written(fingerprints(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "doc_id")).withColumnRenamed("doc_id", "_key"), "fp")
+    points = fps.select("fp").distinct()
+    label = components(points.withColumnRenamed("fp", "node"), links(points)).withColumnRenamed("node", "fp")
+    ids = fps.join(label, "fp", "left").select("_key", F.coalesce("label", "fp").alias("label")).join(rows.select("_key", "doc_id").distinct(), "_key")
+    first = ids.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key")
+    return numbered(docs, *ROW).where("_n = 1").join(first, "_key", "left_semi").select(*docs.columns)

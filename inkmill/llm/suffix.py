@@ -29,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import free, only, table, written
+from inkmill.llm.common import ROW, free, only, table, written
 
 DEPTH, PIECE = 100, 24
 #: Text of a block, about; windows of a batch; stretches of a hash over which it is cut into windows.
@@ -345,8 +345,12 @@ def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of their texts (characters that a cut splits go too, n_chars follows); documents of which no word is left go."""
-    cut = deduplicated(docs).where("n_removed > 0").groupBy(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th")).agg(F.min_by("kept", "n_removed").alias("c_kept"))
-    joined = docs.join(cut, docs.doc_id.eqNullSafe(cut.c_doc) & (F.xxhash64(docs.text) == cut.c_th), "left")
+    # rows alike in doc_id and text have a cut each: they are dealt one by one
+    cut = deduplicated(docs).where("n_removed > 0").withColumn("c_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"))
+    cut = cut.groupBy("c_key").agg(F.sort_array(F.collect_list(F.struct("n_removed", "kept")), asc=False).alias("c_cuts"))
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "_th"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*[n for n in ROW if n in docs.columns and n != "text"])))
+    joined = rows.join(cut, rows["_key"] == cut.c_key, "left").withColumn("c_kept", F.get("c_cuts", F.col("_n") - 1)["kept"])
     changed = F.col("c_kept").isNotNull()
     text = F.regexp_replace(F.make_valid_utf8(F.col("c_kept").cast("string")), "\ufffd", "")
     joined = joined.withColumn("text", F.when(changed, text).otherwise(F.col("text")))

@@ -353,3 +353,26 @@ def test_broken_archives():
         list(warc.frames(good + b"junk"))
     raw = next(warc.frames(good))
     assert warc.parse(raw.replace(b"xxx", b"yyy", 1))["error"] and warc.parse(raw[:-5])["error"] and warc.parse(b"HTTP/1.1\r\n\r\n")["error"]
+
+
+def test_stages_tell_rows_apart_that_share_an_id(spark):
+    rng = random.Random(6)
+    say = lambda n=120: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, leak = say(), say(), say(), say()
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, leak), (2, leak), (2, say()), (3, "too short"), (3, say())]
+    d = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    held = lambda df: sorted((r.doc_id or 0, r.text) for r in df.select("doc_id", "text").collect())
+    of = lambda xs: sorted((i or 0, t) for i, t in xs)
+    assert held(quality.keep_good(d)) == of(x for x in rows if x[1] != "too short")
+    assert held(simhash.keep_one(d)) == of(x for x in dict.fromkeys(rows) if x != (None, leak))
+    assert held(suffix.without_repeats(d)) == of(x for x in dict.fromkeys(rows) if x != (None, leak))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert held(decontam.without_leaks(d, bench)) == of(x for x in rows if x[1] != leak)
+    words = collections.Counter()
+    for r in mixing.in_order(d).collect():
+        words[r.doc_id, r.text] += r.taken
+    plan = collections.Counter()
+    for r in mixing.mixed(d).collect():
+        plan[r.doc_id] += r.taken
+    assert {i: sum(n for (j, _), n in words.items() if j == i) for i in plan} == plan
+    assert all(words[x] <= 2 * len(x[1].split()) * rows.count(x) for x in words)

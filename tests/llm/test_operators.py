@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkmill.llm import decontam, html_main, license, lm, mixing, quality, simhash, suffix, token_counts, warc
+from inkmill.llm import decontam, html_main, license, lm, mixing, near, quality, simhash, suffix, token_counts, warc
 
 DOC = "doc_id long, text string, lang string, source string, clash int, fp int, w int"
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -364,7 +364,7 @@ def test_stages_tell_rows_apart_that_share_an_id(spark):
     held = lambda df: sorted((r.doc_id or 0, r.text) for r in df.select("doc_id", "text").collect())
     of = lambda xs: sorted((i or 0, t) for i, t in xs)
     assert held(quality.keep_good(d)) == of(x for x in rows if x[1] != "too short")
-    assert held(simhash.keep_one(d)) == of(x for x in dict.fromkeys(rows) if x != (None, leak))
+    assert held(near.keep_one(d)) == of(x for x in dict.fromkeys(rows) if x != (None, leak))
     assert held(suffix.without_repeats(d)) == of(x for x in dict.fromkeys(rows) if x != (None, leak))
     bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
     assert held(decontam.without_leaks(d, bench)) == of(x for x in rows if x[1] != leak)
@@ -376,3 +376,34 @@ def test_stages_tell_rows_apart_that_share_an_id(spark):
         plan[r.doc_id] += r.taken
     assert {i: sum(n for (j, _), n in words.items() if j == i) for i in plan} == plan
     assert all(words[x] <= 2 * len(x[1].split()) * rows.count(x) for x in words)
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(800)]
+    line = [rng.choice(vocabulary) for _ in range(40)]
+    every = [None, "", "a b", "A B"]
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 150))] + line * rng.randint(0, 2)
+        for changed in range(rng.randint(1, 7)):
+            t = list(base)
+            for _ in range(changed):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            every.append(" ".join(t))
+    sets = []
+    for t in every:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    component, n = list(range(len(every))), 0
+    for a in range(len(every)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                n += every[a] != every[b]
+                x, y = component[a], component[b]
+                component = [min(x, y) if c in (x, y) else c for c in component]
+    assert n > 20 and len(set(component)) > 30
+    d = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(every)], "doc_id long, text string, lang string, source string")
+    for rounds in (3, 1):
+        monkeypatch.setattr(near, "ROUNDS", rounds)
+        assert sorted(r.doc_id for r in near.keep_one(d).collect()) == sorted(set(component))
+    assert near.keep_one(d.limit(0)).count() == 0

@@ -18,13 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, table, written
+from inkmill.llm.common import only, small_enough, table, written
 
 #: Fixed values of the format.
 SKIPPABLE_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES, DICT_BYTES, LEVEL = 4 << 20, 16 << 10, 3
 RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, url string, payload binary, error string"
+#: Rows of a payload over which it is told to all tasks; revisits up to which they are broadcast.
+HOT, MOST_BROADCAST = 100_000, 200_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -32,15 +34,20 @@ def bare_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, digest: str, full_bytes: int, refers_to) -> bytes:
-    """One record. A revisit has no block of its own; its headers tell the payload's digest and length and the response meant."""
-    block = b"" if refers_to is not None else payload
+def _urn(page_id, digest: str, nth: int) -> str:
+    """A record's id: the page's, its payload's digest, and which of the records alike in both it is. A page without an id has none here either."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}:{nth}>"
+
+
+def record(page_id, url, payload: bytes, digest: str, full_bytes: int, revisit: bool, refers_to=None, nth: int = 1) -> bytes:
+    """One record. A revisit has no block of its own; its headers tell the payload's digest and length and the page of the response meant."""
+    block = b"" if revisit else payload
     lines = [
-        VERSION.decode(), f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_DATE}",
+        VERSION.decode(), f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id, digest, nth)}", f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {''.join((url or '').split())}", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{bare_digest(block)}", f"X-Payload-Length: {full_bytes}",
     ]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+    if revisit:
+        lines += [f"WARC-Refers-To: {_urn(refers_to, digest, 1)}", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -101,7 +108,7 @@ def parse(raw: bytes) -> dict:
     first, *lines = head.split(b"\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines)}
     number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
-    page = lambda x: number((x or "").removeprefix("<urn:page:").removesuffix(">"))
+    page = lambda x: number((x or "").removeprefix("<urn:page:").removesuffix(">").split(":")[0])
     length = number(fields.get("content-length"))
     block = rest[: length or 0]
     kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -116,7 +123,7 @@ def parse(raw: bytes) -> dict:
         wrong = "block digest does not fit"
     elif kind == "response" and digest and bare_digest(block) != digest:
         wrong = "payload digest does not fit"
-    elif kind == "revisit" and page(fields.get("warc-refers-to")) is None:
+    elif kind == "revisit" and not fields.get("warc-refers-to"):
         wrong = "a revisit refers to nothing"
     return {
         "page_id": page(fields.get("warc-record-id")), "record_type": kind, "refers_to": page(fields.get("warc-refers-to")), "payload_digest": digest or None,
@@ -127,14 +134,15 @@ def parse(raw: bytes) -> dict:
 def _write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in it:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            page_id, url, html, digest, refers_to = row
+        for page_id, url, html, digest, copies, is_response, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             payload = html or b""
-            held.append(record(page_id, url, payload, digest, len(payload), refers_to))
-            size += len(held[-1])
-            if size >= ARCHIVE_BYTES:
-                yield _archive(held)
-                held, size = [], 0
+            for k in range(copies):  # of rows alike in id, address and payload, the first is the response
+                first = is_response and not k
+                held.append(record(page_id, url, payload, digest, len(payload), not first, None if first else refers_to, k + 1))
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield _archive(held)
+                    held, size = [], 0
     if held:
         yield _archive(held)
 
@@ -165,16 +173,18 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(rows)
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """pages with digest (bare base32 SHA-1 of the html) and refers_to (null for the response itself).
+def revisits(ids: DataFrame) -> DataFrame:
+    """(key, response): the distinct rows of ids(key, page_id, url, sha, n) that are no response, and the page_id of theirs.
 
-    Of equal payloads, the largest page_id is the response. Only ids and digests are shuffled for that,
-    counted before they travel; payloads that occur once aren't joined at all but pass with null.
+    Of equal payloads the largest page_id is the response (rows without an id come last; of equal ids, the
+    last address). A payload that occurs on more than HOT rows is told to all tasks: there are at most rows / HOT.
     """
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    ids = written(pages.select("page_id", F.sha1(html).alias("sha")), "digests")
-    many = ids.groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return ids.join(many, "sha").where("page_id <> response").select("page_id", F.col("response").alias("refers_to")).dropDuplicates(["page_id"])
+    top = F.max(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "url", "key")).alias("top")
+    many = written(ids.groupBy("sha").agg(F.sum("n").alias("rows"), F.count("*").alias("keys"), top).where("keys > 1").select("sha", "rows", F.col("top.page_id").alias("response"), F.col("top.key").alias("top_key")), "payloads")
+    hot = many.where(F.col("rows") > HOT).drop("rows")
+    told = ids.join(F.broadcast(hot), "sha")
+    rest = ids.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(many.where(F.col("rows") <= HOT).drop("rows"), "sha")
+    return told.select("key", "top_key", "response").unionByName(rest.select("key", "top_key", "response")).where("key <> top_key").drop("top_key")
 
 
 def b32(sha_hex) -> F.Column:
@@ -185,16 +195,29 @@ def b32(sha_hex) -> F.Column:
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """(name, content): the archives of pages(page_id, url, html), as a table in the shared folder. Null html is an empty payload."""
+    """(name, content): the archives of pages(page_id, url, html), as a table in the shared folder; a record for each row.
+
+    Null html is an empty payload. Rows are told apart by id, address and payload, so pages that share an id,
+    or have none, keep their own payloads; rows alike in all three are records of their own, of which one can
+    be the response. An empty table gives no archives.
+    """
     pages = only(pages, "page_id", "url", "html")
     html = F.coalesce("html", F.lit("")).cast("binary")
-    whole = pages.join(responses(pages), "page_id", "left")
-    rows = whole.select("page_id", "url", html.alias("html"), b32(F.sha1(html)).alias("digest"), "refers_to")
+    key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(" "), F.col("sha"), F.coalesce(F.concat(F.lit(" "), "url"), F.lit("")))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha")).withColumn("key", key)
+    ids = written(rows.groupBy("key", "page_id", "url", "sha").agg(F.count("*").alias("n")), "digests")
+    others = written(revisits(ids), "revisits")
+    # copies meet before they travel; payloads are shuffled once
+    whole = rows.groupBy("key").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.first("html").alias("html"), F.first("sha").alias("sha"), F.count("*").alias("n"))
+    others = others.withColumn("revisit", F.lit(True))
+    whole = whole.join(F.broadcast(others) if small_enough(others, MOST_BROADCAST) else others, "key", "left")
+    # what repeats a response's row refers to it
+    rows = whole.select("page_id", "url", "html", b32(F.col("sha")).alias("digest"), "n", F.col("revisit").isNull().alias("is_response"), F.when(F.col("revisit"), F.col("response")).otherwise(F.col("page_id")).alias("refers_to"))
     return written(rows.mapInArrow(_write, "name string, content binary"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row of RECORD for each record of archives(content); a record that isn't valid has error."""
+    """A row of RECORD for each record of archives(content); a record that isn't valid has error. Null and empty archives have none."""
     return archives.select("content").mapInArrow(_read, RECORD)
 
 
@@ -205,7 +228,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     found = read_archives(write_archives(table(spark, sf_dir, "pages")))
-    checked = found.withColumn("ok", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("record "), F.col("page_id"), F.lit(": "), F.col("error")))).otherwise(F.lit(True)))
+    checked = found.withColumn("ok", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("record "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")), F.lit(": "), F.col("error")))).otherwise(F.lit(True)))
     return checked.where("ok").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -213,8 +236,8 @@ _LETTERS = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(p.html), {1 + 10 * g}, 10))::BIGINT >> {35 - 5 * k}) & 31)::INT + 1, 1)" for g in range(4) for k in range(8)
 )
 ORACLE = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html)
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
 SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, {_LETTERS} AS payload_digest,
-  CASE WHEN p.page_id = g.top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> g.top THEN g.top END AS refers_to
-FROM p JOIN g USING (html)
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM p
 """

@@ -27,38 +27,42 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources(source, ...) with rank, from 1, in code-point order, null last; numbered range by range, so that no task has all of them."""
+    some = sources.where("source is not null").repartitionByRange(F.col("source")).withColumn("part", F.spark_partition_id())
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("source")))
+    some = written(some.unionByName(sources.where("source is null").withColumns({"part": F.lit(1 << 30), "nth": F.lit(1)})), "ranked")
+    # a row for each range
+    ends = some.groupBy("part").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return some.join(F.broadcast(ends.select("part", "earlier")), "part").withColumn("rank", F.col("earlier") + F.col("nth")).drop("part", "nth", "earlier")
+
+
 def targets(sizes: DataFrame, share: float = SHARE, repeats: float = MOST_REPEATS, weights=WEIGHTS) -> DataFrame:
-    """(source, source_size, target, tilt) from sizes(source, size): a row for each source, null last.
+    """(source, source_size, target, tilt) from sizes(source, size): a row for each source.
 
-    Sources in code-point order weigh weights, repeating, and share share * all sizes; none gets more than
-    repeats * its size, and the excess goes to the others by weight. In the order of size over weight, the
-    sources at their limit come first: one running sum finds where they end.
+    Sources in code-point order, null last, weigh weights, repeating, and share share * all sizes; none gets
+    more than repeats * its size, and the excess goes to the others by weight. The words a unit of weight
+    gets only rise as sources reach their limit, so each round settles those that have; a round is one sum
+    over sources, of which three numbers reach the driver.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    k = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    per = per.withColumn("k", k).withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("k")))
-    per = per.withColumn("tilt", F.get(F.array(*[F.lit(t) for t in TILTS]), F.col("k") % len(TILTS)))
-    per = per.withColumn("most", repeats * F.col("source_size"))
-    whole = Window.partitionBy()
-    ranked = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ranked.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({
-        "total": share * F.sum("source_size").over(whole),
-        "most_before": F.coalesce(F.sum("most").over(before), F.lit(0.0)),
-        "rank": F.row_number().over(ranked),
-        "weight_left": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    # the level at which this source and those after it would share what those before it leave
-    per = per.withColumn("level", (F.col("total") - F.col("most_before")) / F.col("weight_left"))
-    per = per.withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
-    # fullness is a prefix of the ranking; the first source that isn't full sets the level of the rest
-    per = per.withColumn("level_of_rest", F.min(F.when(~F.col("full"), F.struct("rank", "level"))).over(whole)["level"])
-    target = F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), F.col("level_of_rest") * F.col("weight")))
+    k = (F.col("rank") - 1) % len(weights)
+    per = ranked(per).withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), k)).withColumn("tilt", F.get(F.array(*[F.lit(t) for t in TILTS]), k % len(TILTS)))
+    per = written(per.withColumn("most", F.lit(float(repeats)) * F.col("source_size")), "weighed")
+    level, settled = -1.0, -1
+    while True:
+        full = (F.col("most") <= F.lit(level) * F.col("weight")) if level >= 0 else F.lit(False)
+        zero = F.lit(0.0)
+        r = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("most")).otherwise(zero)).alias("taken"), F.sum(F.when(full, zero).otherwise(F.col("weight"))).alias("weight"), F.count_if(full).alias("full")).first()
+        if not r.weight or r.full == settled:
+            break
+        level, settled = (share * r.all - r.taken) / r.weight, r.full
+    target = F.when(F.col("most") <= F.lit(level) * F.col("weight"), F.col("most")).otherwise(F.lit(level) * F.col("weight")) if settled >= 0 and r.weight else F.col("most")
     return per.select("source", "source_size", target.alias("target"), "tilt")
 
 
-def running(df: DataFrame, key: str, order: str, value: str, tie: str, rows: int) -> DataFrame:
-    """df with `before`: the sum of value over the rows of the same key that come earlier by (order, tie); order is uniform over all longs."""
+def running(df: DataFrame, key: str, order: str, value: str, ties: list[str], rows: int) -> DataFrame:
+    """df with `before`: the sum of value over the rows of the same key that come earlier by (order, *ties); order is uniform over all longs."""
     wide = max(1, round(rows ** (1 / 3)))
     step = (1 << 64) // (wide * wide) + 1
     at = F.floor((F.col(order).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(step)).cast("decimal(20,0)")).cast("long")
@@ -70,7 +74,7 @@ def running(df: DataFrame, key: str, order: str, value: str, tie: str, rows: int
     two = two.select(key, "b1", "b2", F.coalesce(F.sum("s").over(Window.partitionBy(key, "b1").orderBy("b2").rowsBetween(*earlier)), F.lit(0)).alias("p2"))
     two = two.alias("x").join(one.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & (F.col("x.b1") == F.col("y.b1")))
     two = two.select(F.col(f"x.{key}").alias("k_"), F.col("x.b2").alias("b2_"), (F.col("p1") + F.col("p2")).alias("p"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy(key, "b2").orderBy(order, tie).rowsBetween(*earlier)), F.lit(0))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(key, "b2").orderBy(order, *ties).rowsBetween(*earlier)), F.lit(0))
     inner = df.withColumn("own", own)
     out = inner.join(two, F.col(key).eqNullSafe(F.col("k_")) & (F.col("b2") == F.col("b2_")))
     return out.withColumn("before", F.col("p") + F.col("own")).drop("k_", "b2_", "p", "own", "b1", "b2")
@@ -91,14 +95,17 @@ def mixed(docs: DataFrame, *keys: str) -> DataFrame:
     document is taken: the k-th pass over a source is needed at the words before the document and k times the
     source's size; position is the first. Null texts have no words and null
     sources are one source, last in order. A document that isn't taken has no positions, and null as position.
-    An empty table gives an empty result; repeated rows are documents of their own.
+    An empty table gives an empty result. Rows are told apart by id and text, so those that share an id, or
+    have none, have places of their own, however they are dealt; rows alike in both stand one after the other.
     """
-    sizes = only(docs, *keys, "doc_id", "text", "source").select(*keys, "doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = written(sizes.withColumn("order", F.xxhash64(F.lit(SEED), "doc_id")), "sizes")
-    rows = sizes.count()
-    per = written(targets(sizes), "targets").withColumnRenamed("source", "t_source")
-    # equal rows must not depend on how they are dealt: they are alike in all that counts here
-    ordered = running(sizes, "source", "order", "size", keys[0] if keys else "doc_id", rows)
+    rows = only(docs, *keys, "doc_id", "text", "source").select(*keys, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(SEED), "doc_id", "th"))
+    # rows alike in all are counted before they travel, and dealt out again when their place is known
+    sizes = written(rows.groupBy(*keys, "doc_id", "source", "size", "th", "order").agg(F.count("*").alias("copies")).withColumn("whole", F.col("size") * F.col("copies")), "sizes")
+    n = sizes.count()
+    per = written(targets(sizes.select("source", F.col("whole").alias("size"))), "targets").withColumnRenamed("source", "t_source")
+    ordered = running(sizes, "source", "order", "whole", ["doc_id", "th", "size", *keys], n)
+    ordered = ordered.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
     df = ordered.join(per, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
@@ -118,7 +125,11 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, a row each time, with pass, taken (words) and position, sorted by position."""
+    """The documents that the mix takes, a row each time, with pass, taken (words) and position, sorted by position.
+
+    Columns of those names are replaced. Rows with null or repeated ids are rows of their own (see mixed());
+    texts without words are not taken; an empty table gives an empty result.
+    """
     docs = docs.drop("pass", "taken", "position")
     plan = mixed(docs.withColumn("_key", row_key(*ROW)), "_key").where("taken > 0")
     # equal rows have the same key: each takes one of their plans

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op9_warc": warc.ORACLE}
+ORACLE_SQL = {"op9_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}

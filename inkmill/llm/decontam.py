@@ -1,10 +1,11 @@
 """Benchmark decontamination, DataFrame functions only.
 
-Every window of a document that is as long as a benchmark item and lines up with it (a five-word shingle
-of the item stands in both at the same offset) gets a SimHash fingerprint of its shingles. Windows that
-share no shingle have similarity 0, so leaving them out loses nothing. Fingerprints are cut into
-RADIUS + 1 blocks; two that differ in at most RADIUS bits agree in a block, so joining on (item, block,
-value) finds all within the radius; the multiset Jaccard similarity of shingles then verifies each exactly.
+A window of a document is as long as a benchmark item, at any offset. Two sets of shingles, counted with
+repeats, of sizes a and b have a similarity of s only if they share s / (1 + s) * (a + b) or more; so of all
+windows, those that hold so many of the item's shingles, in whatever order, get a SimHash fingerprint, and
+leaving out the others loses nothing. Fingerprints are cut into RADIUS + 1 blocks; two that differ in at
+most RADIUS bits agree in a block, so joining on (item, block, value) finds all within the radius; the
+multiset Jaccard similarity of shingles then verifies each exactly.
 """
 
 from __future__ import annotations
@@ -61,22 +62,27 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
     items = shingled(keyed_items(benchmark).dropDuplicates(["item"]), "item").where("n > 0")
     items = written(items, "items")
-    places = items.select("item", F.col("n").alias("item_n"), F.size("g").alias("size"), F.posexplode_outer("g").alias("j", "h"))
-    item_counts = places.groupBy("item", "h").agg(F.count("*").alias("ci"))
-    bounded = small_enough(places, MOST_BROADCAST)
+    item_counts = written(items.select("item", F.explode("g").alias("h")).groupBy("item", "h").agg(F.count("*").alias("ci")), "item-shingles")
+    bounded = small_enough(item_counts, MOST_BROADCAST)
     hint = F.broadcast if bounded else (lambda x: x)
 
-    # where shingles of items stand; copies of a shingle in an item give a place each
+    # where shingles of items stand: a place of a document once for each item
     # outer: else the optimizer would infer a filter from the explode and compute the words again for each shingle
     g = shingled(keyed, "doc_id", "th")
+    places = item_counts.join(items.select("item", F.col("n").alias("item_n"), F.size("g").alias("size")), "item").drop("ci")
     hits = g.select("doc_id", "th", F.col("n").alias("doc_n"), F.posexplode_outer("g").alias("p", "h")).join(hint(places), "h")
-    hits = written(hits.select("doc_id", "th", "doc_n", "p", "item", "item_n", "size", "j"), "hits")
-    enough = hits.groupBy("doc_id", "th", "item").agg(F.countDistinct("p").alias("n"), F.first("size").alias("size")).where(F.col("n") >= SIMILARITY * F.col("size"))
-    enough = enough.select("doc_id", "th", "item").withColumnsRenamed({"doc_id": "e_doc", "th": "e_th", "item": "e_item"})
-    live = hits.join(enough, hits.doc_id.eqNullSafe(enough.e_doc) & (hits.th == enough.e_th) & (hits.item == enough.e_item))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("doc_n") - F.col("item_n")))
+    hits = written(hits.select("doc_id", "th", "doc_n", "p", "item", "item_n", "size"), "hits")
+    # as long as a part of the document's own list of shingles
+    lined = hits.groupBy("doc_id", "th", "item", "doc_n", "item_n", "size").agg(F.array_sort(F.collect_set("p")).alias("p"))
     length = F.greatest(F.lit(1), F.least("item_n", "doc_n") - SHINGLE + 1)
-    windows = written(live.select("doc_id", "th", "item", "size", start.alias("start"), length.alias("length")).distinct(), "windows")
+    lined = lined.withColumn("length", length).withColumn("need", F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("length")) - 1e-9).cast("int")).where(F.size("p") >= F.col("need"))
+    # places i .. i + need - 1 lie in a window that starts no later than the first and ends no earlier than the last
+    last = F.greatest(F.lit(0), F.col("doc_n") - F.col("item_n"))
+    # as an array of one range, so that it is worked out once
+    span = lambda i: F.struct(F.greatest(F.get("p", i + F.col("need") - 1) - F.col("length") + 1, F.lit(0)).alias("a"), F.least(F.get("p", i), last).alias("z"))
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), span), lambda x: x["a"] <= x["z"])
+    starts = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["a"], x["z"]))))
+    windows = written(lined.select("doc_id", "th", "item", "size", F.explode(starts).alias("start"), F.col("length")), "windows")
 
     # the shingles of those windows alone, from the documents that have one
     owners = windows.select(F.col("doc_id").alias("o_doc"), F.col("th").alias("o_th")).distinct()
@@ -128,6 +134,6 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that match no benchmark item."""
+    """The rows of docs that match no benchmark item. Rows are told apart by id and text, null ids too; those with null or empty text stay, as do all if either table is empty."""
     bad = matches(docs, benchmark).select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th")).distinct()
     return docs.join(bad, docs.doc_id.eqNullSafe(bad.b_doc) & (F.xxhash64(docs.text) == bad.b_th), "left_anti")

@@ -1,10 +1,13 @@
 """License scans, DataFrame functions only.
 
-Headers (the lines of a text) and licence files (whole texts) are compared with licence templates by the
-cosine of sparse TF-IDF vectors. Two bounds, neither of which loses a match, find the units worth
-exploding: a pattern (a unit without any heavy term of a template can't reach the threshold, by
-Cauchy-Schwarz on what is left of the template), then near() on the terms of the unit. A licence file's licence holds for its directory; a document without a
-licence of its own takes that of the nearest ancestor directory that has one, by joins on paths.
+Units are compared with licence templates by the cosine of sparse TF-IDF vectors. Headers (lines, sentences
+and paragraphs of a text) are compared with notices, SPDX lines and licences; whole texts with licences.
+Ordinary words are no terms. Two bounds on a unit's terms, neither of which loses a match, find the units
+worth exploding: see worth().
+
+A licence file is a text that as a whole is a licence, or a file with a licence's name (LICENSE, COPYING,
+...) that holds a header. Its licence holds for its directory; a document without a licence of its own
+takes that of the nearest ancestor directory that has one, by joins on paths.
 """
 
 from __future__ import annotations
@@ -16,104 +19,108 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, table, written
-
-HEADER, FILE = 0.7, 0.7
-#: Licence notices in the wording of their publishers.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0."],
-}
+from inkmill.llm.common import only, small_enough, table, written
+from inkmill.llm.license_texts import NOTICES, TEXTS
+
+#: Least cosines, and how many terms a unit and its template must share besides: one word alone is no notice.
+HEADER, FILE, SHARED = 0.7, 0.7, 2
+NAMED = r"(?i)(^|/)(un)?licen[cs]e(s|[.\-_][^/]*)?$|(?i)(^|/)(copying|copyright|notice)([.\-_][^/]*)?$"
+#: Directories with a licence file up to which they are broadcast.
+MOST_BROADCAST = 200_000
 _TERM = re.compile(r"[a-z0-9]+")
-#: Words of any prose, the last to be taken as heavy terms.
-COMMON = frozenset("a an and are as at be by for from in is it may not of on or that the this to under use with you".split())
+#: Ordinary words, which are left out of all vectors.
+COMMON = frozenset(
+    "a all also an and any are as at been but by can do each either even for from get give had has have how if in into is it its made make may more most must new no nor not of on one only or other others our out s shall should so such "
+    "take than that the their them then there therefore these they things this those to unless use used using v want was way we when whether which who will with within without would you your".split()
+)
 #: More than the rounding of a cosine, which is to six digits.
 SLACK = 1e-5
 
 
-def _model() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float, list[str]]:
-    """(licence, template, term, weight of the unit vector) rows; idf by term; idf of any other term; the heavy terms."""
-    texts = [(name, k, Counter(_TERM.findall(t.lower()))) for name, ts in TEMPLATES.items() for k, t in enumerate(ts)]
-    df = Counter(term for _, _, c in texts for term in c)
+def templates() -> list[tuple[str, bool, str]]:
+    """(licence, whether it is a whole licence, text) of each template."""
+    names = sorted({*NOTICES, *TEXTS})
+    return [(n, False, t) for n, ts in NOTICES.items() for t in ts] + [(n, False, f"SPDX-License-Identifier: {n}") for n in names] + [(n, True, t) for n, t in TEXTS.items()]
+
+
+def _model() -> tuple[list[tuple[str, int, bool, str, float]], dict[str, float], float]:
+    """(licence, template, whole, term, weight of the unit vector) rows; idf by term; idf of any other term."""
+    texts = [(name, k, whole, Counter(x for x in _TERM.findall(t.lower()) if x not in COMMON)) for k, (name, whole, t) in enumerate(templates())]
+    df = Counter(term for *_, c in texts for term in c)
     idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
-    rows, heavy = [], set()
-    for name, k, c in texts:
-        weights = {t: n * idf[t] for t, n in c.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        rows += [(name, k, t, w / norm) for t, w in sorted(weights.items())]
-        left = 1.0
-        for t, w in sorted(weights.items(), key=lambda x: (x[0] in COMMON, -x[1], x[0])):
-            if math.sqrt(max(left, 0)) < min(HEADER, FILE) - 1e-9:
-                break
-            heavy.add(t)
-            left -= (w / norm) ** 2
-    return rows, idf, math.log(1 + len(texts)) + 1, sorted(heavy)
+    rows = []
+    for name, k, whole, c in texts:
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        rows += [(name, k, whole, t, n * idf[t] / norm) for t, n in sorted(c.items())]
+    return rows, idf, math.log(1 + len(texts)) + 1
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
-
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*sorted(COMMON)))
 
-def near(unit: Column, rows: list[tuple[str, int, str, float]], idf: dict[str, float], other: float) -> Column:
-    """False only where no template's cosine with unit can reach the threshold.
 
-    For a template w (of length 1) and the vector x of the unit, cosine <= |w on the terms that x has|, and
-    cosine = w.x / |x|, where |x|^2 is at least the sum of idf^2 over all words, repeats included.
-    """
-    least = min(HEADER, FILE) - SLACK
-    templates: dict[tuple[str, int], list] = {}
-    for name, k, term, w in rows:
-        templates.setdefault((name, k), []).append((term, w))
-    literal = lambda ts: F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("square"), F.lit(w * idf[t]).alias("part")) for t, w in ts])
-    fixed = F.array(*[literal(ts) for ts in templates.values()])
-    known = lambda words: F.filter(words, lambda x: x.isin(*sorted(idf)))
-    total = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + of(x))
+def fewest(rows: list[tuple[str, int, bool, str, float]], least: float) -> int:
+    """How many of a template's terms a unit must have, for the template of which fewest do, SHARED at least: the squares of the largest weights must reach that of the threshold."""
+    found = []
+    for k in {r[1] for r in rows}:
+        total, n = 0.0, 0
+        for w in sorted((r[4] for r in rows if r[1] == k), reverse=True):
+            if total >= least * least:
+                break
+            total, n = total + w * w, n + 1
+        found.append(n)
+    return max(SHARED, min(found, default=0))
 
-    def let(value: Column, of) -> Column:  # value is worked out once
-        return F.element_at(F.transform(F.array(value), of), 1)
 
-    def judge(v: Column) -> Column:
-        outside = (v["n"] - F.size(v["own"])) * F.lit(other * other)
-        short = lambda t: total(t, lambda x: F.when(F.array_contains(v["present"], x["term"]), x["square"]).otherwise(0.0)) >= least * least
-        dot = lambda t: total(t, lambda x: F.size(F.filter(v["own"], lambda y: y == x["term"])) * x["part"])
-        return F.exists(fixed, lambda t: short(t) & let(dot(t), lambda d: d * d >= F.lit(least * least) * (outside + F.size(v["own"]) * F.lit(min(idf.values()) ** 2))))
+def worth(unit: Column, rows: list[tuple[str, int, bool, str, float]], idf: dict[str, float], other: float) -> Column:
+    """False only where no template of rows has a cosine with unit that reaches the threshold.
 
-    split = lambda ws: F.struct(F.size(ws).alias("n"), known(ws).alias("own"), F.array_distinct(known(ws)).alias("present"))
-    return let(_terms(unit), lambda ws: let(split(ws), judge))
+    For a template w and a unit x, of length 1 and |x|: the cosine is at most |w on the terms that x has|, so
+    x has fewest() of the templates' terms or more; and at most |x on those terms| / |x|, where the square
+    of the first is at most the largest idf^2 times the square of their number, and x has besides at least
+    other^2 for each other word.
+    """
+    least = min(HEADER, FILE) - SLACK
+    few, top = fewest(rows, least), max(idf.values(), default=0.0)
+    split = lambda ws: F.struct(F.size(ws).alias("n"), F.filter(ws, lambda x: x.isin(*sorted(idf))).alias("own"))
+    let = lambda value, of: F.element_at(F.transform(F.array(value), of), 1)  # noqa: E731  # value is worked out once
+    known = lambda v: F.size(v["own"]) * F.size(v["own"]) * F.lit(top * top)
+    enough = lambda v: (F.size(F.array_distinct(v["own"])) >= few) & ((1 - least * least) * known(v) >= least * least * (v["n"] - F.size(v["own"])) * F.lit(other * other))
+    return let(_terms(unit), lambda ws: let(split(ws), enough))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, kind, license, cosine, line): the headers and files of docs(doc_id, path, text) that match, with the best template of each."""
+    """(doc_id, path, kind, license, cosine, line): the headers and files of docs(doc_id, path, text) that match, with the best template of each, of equal ones the first licence by name.
+
+    kind is file for a whole text (line -1), else header. Null and empty texts have no units.
+    """
     spark: SparkSession = docs.sparkSession
-    rows, idf, other, heavy = _model()
-    weights = spark.createDataFrame(rows, "license string, template int, term string, weight double")
-    worth = r"(?i)(?<![a-z0-9])(?:" + "|".join(heavy) + r")(?![a-z0-9])"
-    lines = F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("line"), x.alias("unit")))
-    whole = F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit")))
-    units = only(docs, "doc_id", "path", "text").where(F.col("text").isNotNull() & F.col("text").rlike(worth)).select("doc_id", "path", F.inline(F.concat(whole, lines)))
-    units = units.where(F.col("unit").rlike(worth)).where(near(F.col("unit"), rows, idf, other))
-    units = written(units.withColumn("kind", F.when(F.col("line") < 0, "file").otherwise("header")), "licensed")
-    key = ["doc_id", "path", "kind", "line"]
+    rows, idf, other = _model()
+    whole = [r for r in rows if r[2]]
+    weights = spark.createDataFrame(rows, "license string, template int, whole boolean, term string, weight double")
+    unit = lambda k, x: F.struct(k.alias("line"), x.alias("unit"))
+    parts = lambda sep, at: F.transform(F.split("text", sep), lambda x, k: unit(k + at, x))
+    units = F.concat(F.array(unit(F.lit(-1), F.col("text"))), parts("\n", F.lit(0)), parts(r"\n[^\p{L}\p{N}]*\n", F.lit(1 << 28)), parts(r"(?<=[.!?])\s+", F.lit(1 << 29)))
+    # a text without some terms has no unit with them
+    some = F.size(F.array_distinct(F.filter(_terms(F.col("text")), lambda x: x.isin(*sorted(idf))))) >= fewest(rows, min(HEADER, FILE) - SLACK)
+    units = only(docs, "doc_id", "path", "text").where(F.col("text").isNotNull()).where(some).select("doc_id", "path", F.inline(units))
+    units = units.where(F.when(F.col("line") < 0, worth(F.col("unit"), whole, idf, other)).otherwise(worth(F.col("unit"), rows, idf, other)))
+    units = written(units.withColumn("kind", F.when(F.col("line") < 0, "file").otherwise("header")).withColumn("u", F.xxhash64("unit")), "licensed")
+    # rows that share an id and a path are told apart by their units; equal ones add up, which leaves a cosine as it is
+    key = ["doc_id", "path", "kind", "line", "u"]
     terms = units.select(*key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
     # the templates' own terms: fixed in number
     own = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     terms = terms.join(F.broadcast(own), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.where("idf is not null").join(F.broadcast(weights), "term").groupBy(*key, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    dots = dots.groupBy(*key).agg(F.max(F.struct("dot", F.col("license"))).alias("best"))
+    meant = terms.where("idf is not null").join(F.broadcast(weights), "term").where("whole or kind = 'header'")
+    dots = meant.groupBy(*key, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    dots = dots.groupBy(*key).agg(F.min(F.struct((-F.round("dot", 9)).alias("dot"), F.col("license"))).alias("best"))
     norms = norms.withColumnsRenamed({k: f"n_{k}" for k in key})
     on = F.lit(True)
     for k in key:
         on = on & F.col(k).eqNullSafe(F.col(f"n_{k}"))
-    found = dots.join(norms, on).select(*key, F.col("best.license").alias("license"), F.round(F.col("best.dot") / F.col("norm"), 6).alias("cosine"))
+    found = dots.join(norms, on).select(*key[:-1], F.col("best.license").alias("license"), F.round(-F.col("best.dot") / F.col("norm"), 6).alias("cosine"))
     return found.where(F.col("cosine") >= F.when(F.col("kind") == "file", FILE).otherwise(HEADER))
 
 
@@ -126,22 +133,28 @@ def ancestors(path: Column) -> Column:
 def licensed(docs: DataFrame) -> DataFrame:
     """For each row of docs(doc_id, path, text): doc_id, path, own_license, own_kind, cosine, inherited_license, inherited_from, license.
 
-    own: the best file or header match, ties to the first licence by name; inherited: that of the nearest
-    ancestor directory holding a licence file, for documents without their own. Null texts have none of
-    their own; null paths inherit nothing. Rows are told apart by (doc_id, path); repeated rows stay.
+    own: the best match of the whole text, else of its headers, ties to the first licence by name; inherited: that of
+    the nearest ancestor directory holding a licence file (of several files the best, ties alike), for
+    documents without their own. Null and empty texts have none of their own; null paths inherit nothing and
+    pass nothing on. Rows are told apart by (doc_id, path); repeated rows stay, and rows alike in both but not
+    in text have the best of their matches. An empty table gives an empty result.
     """
     docs = only(docs, "doc_id", "path", "text")
     found = written(scanned(docs), "licences")
-    best = F.max(F.struct("cosine", F.col("kind"), F.col("license"))).alias("b")
-    own = found.groupBy("doc_id", "path").agg(best).select(F.col("doc_id").alias("o_doc"), F.col("path").alias("o_path"), F.col("b.license").alias("own_license"), F.col("b.kind").alias("own_kind"), F.col("b.cosine").alias("cosine"))
+    order = F.struct("kind", (-F.col("cosine")).alias("c"), "license")
+    own = found.groupBy("doc_id", "path").agg(F.min(order).alias("b"))
+    own = own.select(F.col("doc_id").alias("o_doc"), F.col("path").alias("o_path"), F.col("b.license").alias("own_license"), F.col("b.kind").alias("own_kind"), (-F.col("b.c")).alias("cosine"))
     rows = docs.select("doc_id", "path")
     out = rows.join(own, F.col("doc_id").eqNullSafe(F.col("o_doc")) & F.col("path").eqNullSafe(F.col("o_path")), "left").drop("o_doc", "o_path")
     directory = F.regexp_replace("path", "/?[^/]*$", "")
-    holders = found.where((F.col("kind") == "file") & F.col("path").isNotNull()).groupBy(directory.alias("directory")).agg(F.max(F.struct("cosine", "license"))["license"].alias("held"))
-    above = rows.where("path is not null").distinct().select("doc_id", "path", F.posexplode(ancestors(F.col("path"))).alias("depth", "directory"))
-    nearest = above.join(holders, "directory").groupBy("doc_id", "path").agg(F.max(F.struct("depth", "directory", "held")).alias("a"))
-    nearest = nearest.select(F.col("doc_id").alias("a_doc"), F.col("path").alias("a_path"), F.col("a.directory").alias("above"), F.col("a.held").alias("held"))
-    out = out.join(nearest, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("path") == F.col("a_path")), "left")
+    files = found.where(F.col("path").isNotNull() & ((F.col("kind") == "file") | F.col("path").rlike(NAMED)))
+    holders = written(files.groupBy(directory.alias("directory")).agg(F.min(order)["license"].alias("held")), "holders")
+    hint = F.broadcast(holders) if small_enough(holders, MOST_BROADCAST) else holders
+    # directories, not documents, look for their nearest holder: one with a third of the documents is one row
+    folders = rows.where("path is not null").select(directory.alias("own_directory")).distinct()
+    above = folders.select("own_directory", F.posexplode(ancestors(F.concat(F.col("own_directory"), F.when(F.col("own_directory") == "", "x").otherwise("/x")))).alias("depth", "directory"))
+    nearest = written(above.join(hint, "directory").groupBy("own_directory").agg(F.max(F.struct("depth", "directory", "held")).alias("a")).select("own_directory", F.col("a.directory").alias("above"), F.col("a.held").alias("held")), "nearest")
+    out = out.withColumn("own_directory", directory).join(F.broadcast(nearest) if small_enough(nearest, MOST_BROADCAST) else nearest, "own_directory", "left")
     free = F.col("own_license").isNull()
     return out.select(
         "doc_id", "path", "own_license", "own_kind", "cosine", F.when(free, F.col("held")).alias("inherited_license"), F.when(free, F.col("above")).alias("inherited_from"), F.coalesce("own_license", "held").alias("license")

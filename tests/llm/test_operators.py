@@ -294,33 +294,53 @@ def test_decontamination_by_every_benchmark_row(spark):
 
 
 def test_licences_and_inheritance(spark):
-    rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/x", "words\nmore"), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "a/b/c/y", None), (5, "z", "text about the of in"), (6, "a/b/w", "code\nLicensed under CC BY-NC 4.0.\ncode code"), (7, None, "")]
-    found = got(license.licensed(spark.createDataFrame(rows, "doc_id long, path string, text string")), "doc_id", "own_license", "inherited_license", "inherited_from")
-    assert found == {1: ("Apache-2.0", None, None), 2: (None, "MIT", "a/b"), 3: ("MIT", None, None), 4: (None, "MIT", "a/b"), 5: (None, None, None), 6: ("CC-BY-NC-4.0", None, None), 7: (None, None, None)}
+    full = lambda name: f"Copyright (c) 2020 Some Body\n\n{license.TEXTS[name]}\n"
+    rows = [
+        (1, "a/LICENSE", full("Apache-2.0")), (2, "a/b/x", "words\nmore"), (3, "a/b/LICENSE", full("MIT")), (4, "a/b/c/y", None), (5, "z", "text about the of in"),
+        (6, "a/b/w", "code\nLicensed under CC BY-NC 4.0.\ncode code"), (7, None, ""), (8, "s/main.c", "// SPDX-License-Identifier: MIT\nint x;"), (9, "s/other.c", "int y;"), (10, "t/terms.txt", full("BSD-3-Clause")),
+        (11, "t/u/v/x", "words"), (12, "n/COPYING.md", "Some notes. Released under the MIT License. More notes follow here."), (13, "n/x", ""), (14, "o/notes", "Released under the MIT License."), (15, "o/x", "words"),
+        (16, "p/x.py", "# " + license.NOTICES["Apache-2.0"][2].replace("\n", "\n# ") + "\n\nimport os\n"), (17, "a/b/c/y", "words"), (None, "a/q", "words"), (18, "s/z", "SPDX-License-Identifier: Unheard-Of"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("clash")).withColumn("kind", F.lit(1))
+    found = got(license.licensed(d), "doc_id", "own_license", "own_kind", "inherited_license", "inherited_from")
+    none = (None,) * 4
+    assert found == {
+        1: ("Apache-2.0", "file", None, None), 2: (None, None, "MIT", "a/b"), 3: ("MIT", "file", None, None), 4: (None, None, "MIT", "a/b"), 5: none, 6: ("CC-BY-NC-4.0", "header", None, None), 7: none,
+        8: ("MIT", "header", None, None), 9: none, 10: ("BSD-3-Clause", "file", None, None), 11: (None, None, "BSD-3-Clause", "t"), 12: ("MIT", "header", None, None), 13: (None, None, "MIT", "n"), 14: ("MIT", "header", None, None),
+        15: none, 16: ("Apache-2.0", "header", None, None), 17: (None, None, "MIT", "a/b"), None: (None, None, "Apache-2.0", "a"), 18: none,
+    }
+
+
+def test_licence_ties(spark, monkeypatch):
+    monkeypatch.setattr(license, "templates", lambda: [("B", False, "wild words here"), ("A", False, "wild words here"), ("B", True, "whole licence of it"), ("A", True, "whole licence of it")])
+    rows = [(1, "a/x", "wild words here"), (2, "a/y", "whole licence of it"), (3, "a/z", "nothing"), (4, "b/LICENSE", "wild words here"), (4, "b/LICENSE", "whole licence of it"), (5, "b/c", None)]
+    found = sorted(tuple(r) for r in license.licensed(spark.createDataFrame(rows, "doc_id long, path string, text string")).select("doc_id", "own_license", "own_kind", "license").collect())
+    assert found == [(1, "A", "header", "A"), (2, "A", "file", "A"), (3, None, None, "A"), (4, "A", "file", "A"), (4, "A", "file", "A"), (5, None, None, "A")]
 
 
 def test_licence_bounds_lose_no_match(spark):
-    rows, idf, other, heavy = license._model()
-    weights = collections.defaultdict(dict)
-    for name, k, term, w in rows:
-        weights[name, k][term] = w
-    rng, units = random.Random(4), [None, "", "...", "the " * 3000, "MIT " * 500, *[t for ts in license.TEMPLATES.values() for t in ts]]
-    for t in units[5:] * 12:
+    rows, idf, other = license._model()
+    weights, whole = collections.defaultdict(dict), {}
+    for _, k, w, term, x in rows:
+        weights[k][term], whole[k] = x, w
+    rng, units = random.Random(4), [None, "", "...", "the " * 3000, "MIT " * 500, *[t.replace("\n", " ") for _, _, t in license.templates()]]
+    for t in units[5:] * 6:
         words = [w for w in t.split() if rng.random() < 0.8] + [rng.choice(["x", "the", "license", "of", "word", "Version"]) for _ in range(rng.randint(0, 12))]
         rng.shuffle(words)
         units.append(" ".join(words))
-    want = {}
+    want, files = {}, {}
     for i, t in enumerate(units):
-        c = collections.Counter(re.findall("[a-z0-9]+", (t or "").lower()))
+        c = collections.Counter(x for x in re.findall("[a-z0-9]+", (t or "").lower()) if x not in license.COMMON)
         x = {term: n * idf.get(term, other) for term, n in c.items()}
         norm = sum(v * v for v in x.values()) ** 0.5 or 1
-        want[i] = max(sum(x.get(term, 0) * w for term, w in ws.items()) for ws in weights.values()) / norm
+        cosines = {k: sum(x.get(term, 0) * w for term, w in ws.items()) / norm if len(ws.keys() & x.keys()) >= license.SHARED else 0.0 for k, ws in weights.items()}
+        want[i], files[i] = max(cosines.values()), max(v for k, v in cosines.items() if whole[k])
     df = spark.createDataFrame(list(enumerate(units)), "doc_id long, text string").withColumn("path", F.concat(F.lit("p"), F.col("doc_id"))).withColumn("line", F.lit("clash")).withColumn("n", F.lit(1))
-    near = got(df.select("doc_id", license.near(F.col("text"), rows, idf, other).alias("near")), "doc_id", "near")
-    assert all(near[i][0] for i, c in want.items() if c >= 0.7) and not near[3][0]
-    found = {r.doc_id: r.cosine for r in license.scanned(df).where("kind = 'file'").collect()}
-    assert found == {i: pytest.approx(c, abs=2e-6) for i, c in want.items() if c >= 0.7}
-    assert 30 < len(found) < len(units) - 30
+    worth = got(df.select("doc_id", license.worth(F.col("text"), rows, idf, other).alias("worth")), "doc_id", "worth")
+    assert all(worth[i][0] for i, c in want.items() if c >= 0.7) and not worth[3][0]
+    lines = license.scanned(df).collect()
+    assert {r.doc_id: r.cosine for r in lines if r.kind == "file"} == {i: pytest.approx(c, abs=2e-6) for i, c in files.items() if c >= 0.7}
+    assert {r.doc_id: r.cosine for r in lines if r.line == 0} == {i: pytest.approx(c, abs=2e-6) for i, c in want.items() if c >= 0.7}
     assert license.licensed(df.limit(0)).count() == 0 and license.licensed(df.union(df)).count() == 2 * len(units)
 
 

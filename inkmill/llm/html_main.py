@@ -1,9 +1,11 @@
 """Main text of web pages, with site templates removed by recurring subtrees.
 
-Pages become element trees. Parts that are not the article by their meaning (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) go by element, role, class and id.
-Every other element's subtree is hashed; Spark counts, per host, on how many pages each hash occurs;
-subtrees on more than SHARE of a host's pages, of LEAST_PAGES at least, are the site's template and go.
+Pages become element trees, and every element's whole subtree is hashed, menus and scripts like any other.
+Spark counts, per host, on how many different pages each hash occurs; subtrees on LEAST_PAGES of a host's
+pages or more, and on more than SHARE of them, are the site's template and are deleted. Pages of the same
+main text are one page for these counts, so that copies of an article don't make it a template. Of what
+is left, parts that are not the article by their meaning (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments) go by element, role, class and id.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, small_enough, table
+from inkmill.llm.common import only, small_enough, table, written
 
-SHARE, LEAST_PAGES = 0.5, 10
+SHARE, LEAST_PAGES = 0.5, 5
 #: Template subtrees, over all hosts, up to which they are broadcast; else they are joined by host.
 MOST_BROADCAST = 100_000
 
@@ -120,7 +122,7 @@ def _unwanted(n: Node) -> bool:
 
 
 def tree(html: str | None) -> Node:
-    """The page's tree without unwanted parts, each element with its subtree's hash (0 if it has no text)."""
+    """The page's tree, each element with its subtree's hash (0 if it has no text)."""
     parser = _Tree()
     parser.feed(html or "")
     parser.close()
@@ -128,7 +130,6 @@ def tree(html: str | None) -> Node:
     order, stack = [], [parser.root]
     while stack:
         n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or not _unwanted(c)]
         order.append(n)
         stack += [c for c in n.children if not isinstance(c, str)]
     for n in reversed(order):
@@ -145,6 +146,16 @@ def tree(html: str | None) -> Node:
     return parser.root
 
 
+def pruned(root: Node, template: frozenset[int] | set[int] = frozenset()) -> Node:
+    """The tree without the subtrees in template, and without unwanted parts."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or not (c.hash in template or _unwanted(c))]
+        stack += [c for c in n.children if not isinstance(c, str)]
+    return root
+
+
 def _under(root: Node) -> Iterator[Node]:
     stack = [root]
     while stack:
@@ -168,11 +179,12 @@ def _containers(root: Node) -> list[Node]:
     return [root]
 
 
-def subtree_hashes(html: str | None) -> set[int]:
-    return {n.hash for n in _under(tree(html)) if n.hash and n.tag and n.tag not in ("html", "body")}
+def subtree_hashes(root: Node) -> set[int]:
+    return {n.hash for n in _under(root) if n.hash and n.tag and n.tag not in ("html", "body")}
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+def text_of(root: Node) -> str:
+    """The text of a pruned tree."""
     blocks: list[str] = []
     words: list[str] = []
 
@@ -181,7 +193,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
             blocks.append(line)
         words.clear()
 
-    for top in _containers(tree(html)):
+    for top in _containers(root):
         stack: list = [top]
         while stack:
             n = stack.pop()
@@ -189,8 +201,6 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
                 end()
             elif isinstance(n, str):
                 words.append(n)
-            elif n.hash in template:
-                pass
             elif n.tag == "br":
                 words.append(" ")
             else:
@@ -202,18 +212,23 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
     return "\n".join(blocks)
 
 
+def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    return text_of(pruned(tree(html), template))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        hosts, hs = [], []
+        hosts, same, own = [], [], []
         for host, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            own = subtree_hashes(html)
-            hosts += [host] * len(own)
-            hs += map(_signed, own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64())], names=["host", "hash"])
+            root = tree(html)
+            hosts.append(host)
+            own.append(sorted(map(_signed, subtree_hashes(root))))
+            same.append(_signed(xxhash.xxh64_intdigest(text_of(pruned(root)).encode("utf-8", "replace"))))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["host", "same", "own"])
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,24 +237,26 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash): the subtrees that recur on so many of the host's pages."""
-    n = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    each = pages.select("host", "html").mapInArrow(_hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > SHARE * LEAST_PAGES)
-    return each.join(n, "host").where(F.col("n") > SHARE * F.col("pages")).select("host", "hash")
+def templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, hash, n, pages): the subtrees of pages(host, html) on n of the host's different pages, least_pages of them or more and over share of all."""
+    each = pages.select("host", "html").mapInArrow(_hashes, "host string, same long, own array<long>").groupBy("host", "same").agg(F.min("own").alias("own"))
+    each = written(each, "subtrees")
+    n = each.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    found = each.select("host", F.explode("own").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    return found.join(n, "host").where(F.col("n") > share * F.col("pages")).select("host", "hash", "n", "pages")
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text) for each row of pages(page_id, url, html).
 
-    Null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; an empty
-    table gives an empty result. Blocks are joined by one newline, white space inside a block is one space.
+    Null or empty html gives an empty text; pages without a host in their url are of one host; rows that share
+    an id, or have none, stay rows of their own; an empty table gives an empty result. Blocks are joined by
+    one newline, white space inside a block is one space. A host with fewer than least_pages different pages
+    has no template.
     """
-    from inkmill.llm.common import written
-
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = only(pages, "page_id", "url", "html").withColumn("host", host)
-    found = written(templates(pages), "templates")
+    found = written(templates(pages, share, least_pages), "templates")
     by_host = found.groupBy("host").agg(F.collect_set("hash").alias("template"))
     if small_enough(found, MOST_BROADCAST):
         by_host = F.broadcast(by_host)

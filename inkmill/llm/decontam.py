@@ -133,6 +133,26 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _sql() -> str:
+    shingles = lambda key, t: f"""SELECT {key}, len(w) AS n, CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i+{SHINGLE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS g
+  FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {t})"""
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents), bench AS (SELECT row_number() OVER () AS item, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+d AS ({shingles('k', 'docs')}), i AS (SELECT *, len(g) AS size FROM ({shingles('item', 'bench')}) WHERE n > 0),
+ih AS (SELECT item, h, count(*) AS ci FROM (SELECT item, unnest(g) AS h FROM i) GROUP BY ALL), dh AS (SELECT k, unnest(g) AS h, generate_subscripts(g, 1) - 1 AS p FROM d),
+hits AS (SELECT k, item, h, ci, p, size, greatest(1, least(i.n, d.n) - {SHINGLE - 1}) AS length, greatest(0, d.n - i.n) AS last FROM dh JOIN ih USING (h) JOIN i USING (item) JOIN d USING (k)),
+starts AS (SELECT DISTINCT k, item, size, length, unnest(range(greatest(0, p - length + 1), least(p, last) + 1)) AS start FROM hits),
+c AS (SELECT s.k, s.item, s.start, s.size, s.length, h, any_value(ci) AS ci, count(*) AS cd FROM starts s JOIN hits t ON s.k = t.k AND s.item = t.item AND t.p BETWEEN s.start AND s.start + s.length - 1 GROUP BY ALL),
+sim AS (SELECT k, item, sum(least(ci, cd)) / (any_value(size) + any_value(length) - sum(least(ci, cd))) AS similarity FROM c GROUP BY k, item, start),
+m AS (SELECT k, item, max(similarity) AS similarity FROM sim WHERE similarity >= {SIMILARITY} GROUP BY k, item),
+f AS (SELECT k, count(DISTINCT item) FILTER (item_id IS NULL) AS nameless, coalesce(list_sort(list(DISTINCT item_id) FILTER (item_id IS NOT NULL)), []::BIGINT[]) AS item_ids, round(max(similarity), 6) AS similarity FROM m JOIN bench USING (item) GROUP BY k)
+SELECT doc_id, f.k IS NOT NULL AS contaminated, (coalesce(len(item_ids), 0) + coalesce(nameless, 0))::BIGINT AS n_items, coalesce(item_ids, []::BIGINT[]) AS item_ids, similarity FROM docs LEFT JOIN f USING (k)
+"""
+
+
+ORACLE = _sql()
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that match no benchmark item. Rows are told apart by id and text, null ids too; those with null or empty text stay, as do all if either table is empty."""
     bad = matches(docs, benchmark).select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th")).distinct()

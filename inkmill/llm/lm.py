@@ -208,9 +208,24 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     free(docs.sparkSession)
     n = answers.agg(F.sum("tokens")).first()[0] or 0
     out = docs.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_score(order, bits, n), SCORED)
-    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_score") / F.col("n_tokens"), 9))
-    return out.withColumn("log_score", F.round("log_score", 6)).withColumn("mean_log_score", mean).withColumn("perplexity", F.round(F.exp(-F.col("mean_log_score")), 6))
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_score") / F.col("n_tokens"), 6))
+    return out.withColumn("log_score", F.round("log_score", 6)).withColumn("mean_log_score", mean).withColumn("perplexity", F.round(F.exp(-F.col("mean_log_score")), 3))
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT k, w[p] AS c, CASE WHEN p > 1 THEN w[p-1] END AS b, CASE WHEN p > 2 THEN w[p-2] END AS a, p FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+one AS (SELECT c, count(*) AS n FROM t GROUP BY ALL), two AS (SELECT b, c, count(*) AS n FROM t WHERE p > 1 GROUP BY ALL), three AS (SELECT a, b, c, count(*) AS n FROM t WHERE p > 2 GROUP BY ALL),
+x AS (SELECT t.k, t.p, o.n AS n1, w.n AS n2, h.n AS n3, ob.n AS nb, wab.n AS nab, (SELECT count(*) FROM t) AS whole FROM t JOIN one o ON t.c = o.c LEFT JOIN two w ON t.b = w.b AND t.c = w.c LEFT JOIN three h ON t.a = h.a AND t.b = h.b AND t.c = h.c
+  LEFT JOIN one ob ON t.b = ob.c LEFT JOIN two wab ON t.a = wab.b AND t.b = wab.c),
+s AS (SELECT k, CASE WHEN p > 2 AND n3 >= {LEAST} THEN ln(n3 / nab) WHEN p > 1 AND n2 >= {LEAST} THEN ln(n2 / nb) + (p > 2)::INT * ln({BACKOFF}::DOUBLE) ELSE ln(n1 / whole) + least(p - 1, 2) * ln({BACKOFF}::DOUBLE) END AS s,
+  CASE WHEN p > 2 THEN n3 < {LEAST} WHEN p > 1 THEN n2 < {LEAST} ELSE false END AS off FROM x),
+g AS (SELECT k, count(*) AS n_tokens, sum(s) AS log_score, count(*) FILTER (off) AS n_backed_off FROM s GROUP BY k)
+SELECT doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(round(log_score, 6), 0.0) AS log_score, coalesce(n_backed_off, 0)::BIGINT AS n_backed_off,
+  round(round(log_score, 6) / n_tokens, 6) AS mean_log_score, round(exp(-round(round(log_score, 6) / n_tokens, 6)), 3) AS perplexity FROM d LEFT JOIN g USING (k)
+"""

@@ -62,11 +62,10 @@ def targets(sizes: DataFrame, share: float = SHARE, repeats: float = MOST_REPEAT
 
 
 def running(df: DataFrame, key: str, order: str, value: str, ties: list[str], rows: int) -> DataFrame:
-    """df with `before`: the sum of value over the rows of the same key that come earlier by (order, *ties); order is uniform over all longs."""
+    """df with `before`: the sum of value over the rows of the same key that come earlier by (order, *ties); order is uniform from 0 to 2^60."""
     wide = max(1, round(rows ** (1 / 3)))
-    step = (1 << 64) // (wide * wide) + 1
-    at = F.floor((F.col(order).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(step)).cast("decimal(20,0)")).cast("long")
-    df = df.withColumn("b2", at).withColumn("b1", F.floor(F.col("b2") / wide).cast("long"))
+    step = (1 << 60) // (wide * wide) + 1
+    df = df.withColumn("b2", F.expr(f"{order} div {step}L")).withColumn("b1", F.floor(F.col("b2") / wide).cast("long"))
     earlier = Window.unboundedPreceding, -1
     two = df.groupBy(key, "b1", "b2").agg(F.sum(value).alias("s"))
     one = two.groupBy(key, "b1").agg(F.sum("s").alias("s"))
@@ -98,8 +97,9 @@ def mixed(docs: DataFrame, *keys: str) -> DataFrame:
     An empty table gives an empty result. Rows are told apart by id and text, so those that share an id, or
     have none, have places of their own, however they are dealt; rows alike in both stand one after the other.
     """
-    rows = only(docs, *keys, "doc_id", "text", "source").select(*keys, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(SEED), "doc_id", "th"))
+    rows = only(docs, *keys, "doc_id", "text", "source").select(*keys, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("th"))
+    said = F.concat(F.lit(f"{SEED} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.col("th"))
+    rows = rows.withColumn("order", F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long"))
     # rows alike in all are counted before they travel, and dealt out again when their place is known
     sizes = written(rows.groupBy(*keys, "doc_id", "source", "size", "th", "order").agg(F.count("*").alias("copies")).withColumn("whole", F.col("size") * F.col("copies")), "sizes")
     n = sizes.count()
@@ -121,7 +121,28 @@ def mixed(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.withColumn("position", F.round("position", 9)).withColumn("positions", F.transform("positions", lambda x: F.round(x, 9)))
+
+
+_POSITION = "abs(CASE WHEN abs(tilt) < 1e-9 THEN {p} ELSE (sqrt(greatest((1 - tilt) * (1 - tilt) + 4 * tilt * {p}, 0.0)) - (1 - tilt)) / (2 * tilt) END)"
+_NTH = _POSITION.format(p="least(1.0::DOUBLE, (before + x * source_size) / goal::DOUBLE)")
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS th FROM documents),
+o AS (SELECT *, ('0x' || substr(md5('{SEED} ' || coalesce(doc_id::VARCHAR, '-') || ' ' || th), 1, 15))::BIGINT AS o FROM d),
+b AS (SELECT *, (coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, th, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before FROM o),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) AS k FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(f"{x}::DOUBLE" for x in WEIGHTS)}][k % {len(WEIGHTS)} + 1] AS weight, [{", ".join(f"{x}::DOUBLE" for x in TILTS)}][k % {len(WEIGHTS)} % {len(TILTS)} + 1] AS tilt, {MOST_REPEATS}::DOUBLE * source_size AS most FROM s),
+r AS (SELECT *, row_number() OVER z AS rank, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM w WINDOW z AS (ORDER BY most / weight, k)),
+t AS (SELECT source, source_size, tilt, CASE WHEN most <= level * weight THEN most ELSE (SELECT arg_min(level, rank) FROM r WHERE most > level * weight) * weight END AS target FROM r),
+g AS (SELECT b.*, source_size, tilt, target, round(target)::BIGINT AS goal FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM g),
+e AS (SELECT *, greatest(0, least(size, goal - passes * source_size - before)) AS extra FROM p),
+n AS (SELECT *, (passes * size + extra)::BIGINT AS taken, CASE WHEN passes * size + extra > 0 THEN passes + (extra > 0)::INT ELSE 0 END AS times FROM e),
+f AS (SELECT *, list_transform(range(times), lambda x: round({_NTH}, 9)) AS positions FROM n)
+SELECT doc_id, size, source_size, target, taken, positions[1] AS position, positions FROM f
+"""
 
 
 def in_order(docs: DataFrame) -> DataFrame:

@@ -17,4 +17,11 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op9_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
+ORACLE_SQL = {
+    "op1_lm_scoring": lm.ORACLE,
+    "op2_suffix_array_dedup": suffix.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op8_benchmark_decontamination": decontam.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
+}

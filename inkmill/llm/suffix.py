@@ -343,6 +343,18 @@ def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).drop("kept", "th")
 
 
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text NULLS FIRST) AS k, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT k, p, substr(x, 2 * p + 1, {2 * DEPTH}) AS s FROM (SELECT k, x, unnest(range(n - {DEPTH - 1})) AS p FROM d)),
+r AS (SELECT k, p FROM (SELECT k, p, row_number() OVER (PARTITION BY s ORDER BY k, p) AS nth FROM w) WHERE nth > 1),
+e AS (SELECT k, p, sum(fresh) OVER (PARTITION BY k ORDER BY p) AS span FROM (SELECT k, p, (p > coalesce(lag(p) OVER (PARTITION BY k ORDER BY p), -{2 * DEPTH}) + {DEPTH})::INT AS fresh FROM r)),
+s AS (SELECT k, span, min(p) AS a, max(p) + {DEPTH} AS z FROM e GROUP BY ALL),
+g AS (SELECT k, span, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY span), 0) AS was FROM s),
+c AS (SELECT k, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(substr(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY span) AS kept FROM g JOIN d USING (k) GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN c USING (k)
+"""
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of their texts (characters that a cut splits go too, n_chars follows); documents of which no word is left go."""
     # rows alike in doc_id and text have a cut each: they are dealt one by one

@@ -123,6 +123,7 @@ ANSWER = "block long, shard long, tokens long, totals array<binary>"
 
 
 def _send(order: int, bits: int, shards: int):
+    # shards in which a block has no n-gram get no row, so rows are at most the n-grams, however many blocks and shards there are
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
         out = [{"shard": s, "block": block, "tokens": 0, "grams": [], "counts": []} for s in range(shards)]
@@ -132,12 +133,14 @@ def _send(order: int, bits: int, shards: int):
                 row["grams"].append(pack(x[lo:hi]))
                 row["counts"].append(pack_counts(n[lo:hi]))
                 row["tokens"] += int(n[lo:hi].sum()) if not k else 0
+                row["some"] = row.get("some") or hi > lo
+        out = [{k: v for k, v in row.items() if k != "some"} for row in out if row["some"]]
         return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("tokens", pa.int64()), ("grams", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))]))
 
     return run
 
 
-def _answer(order: int):
+def _answer(order: int, least: int):
     def run(rows: pa.Table) -> pa.Table:
         t = rows.to_pydict()
         totals: list[list[bytes]] = [[] for _ in t["block"]]
@@ -148,7 +151,7 @@ def _answer(order: int):
             total = np.zeros(len(every), np.int64)
             np.add.at(total, at, np.concatenate([unpack_counts(c[k]) for c in t["counts"]]))
             # what the model leaves out is told as 0
-            told = total if k == 0 else np.where(total >= LEAST, total, 0)
+            told = total if k == 0 else np.where(total >= least, total, 0)
             for j, part in enumerate(np.split(told[at], ends[:-1])):
                 totals[j].append(pack_counts(part))
         return pa.table({"block": pa.array(t["block"], pa.int64()), "shard": pa.array(t["shard"], pa.int64()), "tokens": pa.array(t["tokens"], pa.int64()), "totals": pa.array(totals, pa.list_(pa.binary()))})
@@ -189,10 +192,11 @@ def _score(order: int, bits: int, n: int):
     return run
 
 
-def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_tokens, log_score (natural logarithm, summed), n_backed_off, mean_log_score, perplexity.
 
-    The model is of all rows. Words are lower-cased (A-Z) and split at ASCII white space; the first words
+    The model is of all rows; bigrams and trigrams seen less than `least` times are unknown to it (1: none is).
+    Words are lower-cased (A-Z) and split at ASCII white space; the first words
     of a text use the orders they have. Null and empty texts have no tokens, score 0 and null means.
     Repeated rows count, and are scored, as rows of their own. An empty table gives an empty result.
     """
@@ -203,7 +207,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     shards = 2 * blocks
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block")
     sent = docs.groupBy("block").applyInArrow(_send(order, bits, shards), SENT)
-    answers = written(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer(order), ANSWER), "answers")
+    answers = written(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer(order, least), ANSWER), "answers")
     del sent
     free(docs.sparkSession)
     n = answers.agg(F.sum("tokens")).first()[0] or 0

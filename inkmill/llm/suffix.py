@@ -169,25 +169,28 @@ def _say(rows: pa.Table) -> pa.Table:
 TOLD = "block long, a long, kind int"
 
 
-def _tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all that blocks said of the hashes of a partition: what each has to do. Hashes that occur once are not told of."""
-    batches = list(it)
-    if not batches:
-        return
-    t = {n: np.concatenate([x.column(i).to_numpy() for x in batches]) for i, n in enumerate(batches[0].schema.names)}
-    order = np.lexsort((t["at"], t["doc"], t["a"]))
-    t = {k: v[order] for k, v in t.items()}
-    a = t["a"]
-    heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
-    rows = np.diff(np.concatenate((heads, [len(a)])))
-    total = np.add.reduceat(t["n"], heads)
-    contents = np.add.reduceat(t["contents"], heads)
-    same = (np.minimum.reduceat(t["h"], heads) == np.maximum.reduceat(t["h"], heads)) & (np.maximum.reduceat(t["contents"], heads) == 1)
-    kind = np.where(same, ALL, np.where(contents > HOT, CUT, MIXED))
-    each = np.repeat(kind, rows)
-    each[heads[same]] = FIRST
-    sent = np.repeat(total > 1, rows)
-    yield pa.RecordBatch.from_arrays([pa.array(t["block"][sent]), pa.array(a[sent]), pa.array(each[sent], pa.int32())], names=["block", "a", "kind"])
+def _tell(hot: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of all that blocks said of the hashes of a partition: what each has to do. Hashes that occur once are not told of."""
+        batches = list(it)
+        if not batches:
+            return
+        t = {n: np.concatenate([x.column(i).to_numpy() for x in batches]) for i, n in enumerate(batches[0].schema.names)}
+        order = np.lexsort((t["at"], t["doc"], t["a"]))
+        t = {k: v[order] for k, v in t.items()}
+        a = t["a"]
+        heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+        rows = np.diff(np.concatenate((heads, [len(a)])))
+        total = np.add.reduceat(t["n"], heads)
+        contents = np.add.reduceat(t["contents"], heads)
+        same = (np.minimum.reduceat(t["h"], heads) == np.maximum.reduceat(t["h"], heads)) & (np.maximum.reduceat(t["contents"], heads) == 1)
+        kind = np.where(same, ALL, np.where(contents > hot, CUT, MIXED))
+        each = np.repeat(kind, rows)
+        each[heads[same]] = FIRST
+        sent = np.repeat(total > 1, rows)
+        yield pa.RecordBatch.from_arrays([pa.array(t["block"][sent]), pa.array(a[sent]), pa.array(each[sent], pa.int32())], names=["block", "a", "kind"])
+
+    return run
 
 
 #: runs: row k of the block, windows start .. start + n - 1 removed. entries: the rest, for the index.
@@ -314,12 +317,13 @@ def _cut(rows: pa.Table, runs: pa.Table) -> pa.Table:
     return pa.table({"doc_id": b.rows.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary()), "th": _u(np.array([xxhash.xxh64_intdigest(t, 42) for t in b.texts], np.uint64))})
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay), th (xxhash64 of the text).
 
     Null text is empty; texts under DEPTH bytes lose nothing. Rows that repeat a doc_id count as documents
     that follow each other, in the order of their texts; rows without a doc_id come last of all. An empty
-    table gives an empty result.
+    table gives an empty result. Hashes with more than hot different stretches are cut into windows known by
+    their fingerprints; what is removed is the same for any hot.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -327,7 +331,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     blocks = max(8, -(-size // BLOCK_BYTES))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block")
     said = docs.groupBy("block").applyInArrow(_say, SAID)
-    told = written(said.repartition(blocks, "a").mapInArrow(_tell, TOLD), "told")
+    told = written(said.repartition(blocks, "a").mapInArrow(_tell(hot), TOLD), "told")
     free(spark)
     at_block = told.repartition(blocks, "block").groupBy("block")
     found = written(docs.groupBy("block").cogroup(at_block).applyInArrow(_find, FOUND), "found")

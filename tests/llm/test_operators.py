@@ -90,6 +90,8 @@ def test_suffix(spark, docs):
     want = cut_by_force(texts())
     assert got(suffix.deduplicated(docs), *SUFFIX) == want
     assert sum(x[1] for x in want.values()) > 0
+    for hot in (0, 10**6):
+        assert got(suffix.deduplicated(docs, hot), *SUFFIX) == want
     assert suffix.deduplicated(empty(spark)).count() == 0
 
 
@@ -175,6 +177,41 @@ def test_quality(spark, docs):
     assert quality.judged(empty(spark)).count() == 0
 
 
+def test_fences_are_those_of_exact_quantiles(spark):
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60 + i % 40)]
+        junk = rng.random()
+        for _ in range(int(rng.random() * 20) if junk < 0.3 else 0):
+            words[rng.randrange(len(words))] += rng.choice("#%&")
+        for _ in range(i % 9):
+            words[rng.randrange(len(words))] = rng.choice(["Abc", "XYZ"])
+        rows.append((i % 390 if i % 7 else None, " ".join(words), rng.choice(["en", "fr", None]), rng.choice(["a", "a", "a", "b", None])))
+    d = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_words int, fence int")
+    found = [r.asDict() for r in quality.judged(d).collect()]
+    passed = [r for r in found if not r["base_failed"]]
+
+    def quantile(of, name, level):
+        values = sorted(r[name] for r in of)
+        return values[max(0, -(-level * len(values) // 1000) - 1)] if values else 0.0
+
+    fences = set()
+    for r in found:
+        ok = not r["base_failed"]
+        for name, (part, whole, level) in quality.RATES.items():
+            fence, n = 0.0, quality.SHRINK
+            fence = quantile(passed, name, level)
+            for of in ([x for x in passed if x["lang"] == r["lang"]], [x for x in passed if (x["lang"], x["source"]) == (r["lang"], r["source"])]):
+                fence = (len(of) * quantile(of, name, level) + n * fence) / (len(of) + n)
+            fence *= quality.STRETCH
+            assert fence - 1e-9 <= r[f"{name}_fence"] <= fence * quality.GAMMA + 1e-9  # the sketch's error
+            fences.add((name, round(r[f"{name}_fence"], 9)))
+            ok = ok and r[part] - quality.ERRORS * r[part] ** 0.5 <= r[f"{name}_fence"] * r[whole] + 1e-9
+        assert r["kept"] == ok
+    assert len(found) == 400 and len(fences) > 15 and 0 < sum(r["kept"] for r in found) < len(passed)
+    assert quality.keep_good(d).columns == d.columns and quality.keep_good(d).count() == sum(r["kept"] for r in found)
+
+
 def test_mixing(spark, docs):
     size = {i: len(W.findall(t or "")) for i, t in enumerate(texts())}
     source = {i: None if i % 7 == 0 else f"s{i % 3}" for i in size}
@@ -201,6 +238,18 @@ def test_mixing(spark, docs):
     assert mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixing_of_rows_that_share_ids(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "ß", None])) for i in range(120)] + [(5, "one and the same", "a")] * 60
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"order": F.lit("clash"), "th": F.lit(1), "copies": F.lit(2), "target": F.lit(3)})
+    names = ("doc_id", "size", "source_size", "target", "taken", "positions")
+    held = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+    found = held(mixing.mixed(d))
+    assert len(found) == 180 and found == held(mixing.mixed(d.repartition(7)))
+    goal = {(x[2], round(x[3], 6)) for x in found}
+    assert sum(x[4] for x in found) == sum(round(t) for _, t in goal)
+
+
 def test_every_pass_of_the_mix_has_a_position(spark, docs):
     found = {r.doc_id: r for r in mixing.mixed(docs).collect()}
     source = {r.doc_id: r.source for r in docs.collect()}
@@ -223,7 +272,8 @@ def test_every_pass_of_the_mix_has_a_position(spark, docs):
         assert at == goal
 
 
-def test_scores(spark, docs):
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_scores(spark, docs, least):
     import math
 
     counts, all_words = collections.Counter(), [[w for w in (t or "").encode().lower().split()] for t in texts()]
@@ -238,12 +288,12 @@ def test_scores(spark, docs):
             factor = 1.0
             for k in range(min(2, a), -1, -1):
                 gram = tuple(w[a - k : a + 1])
-                if k == 0 or counts[gram] >= 2:
+                if k == 0 or counts[gram] >= least:
                     score += math.log(factor * counts[gram] / (counts[gram[:-1]] if k else n))
                     break
                 factor *= 0.4
         want[i] = (len(w), pytest.approx(score, abs=1e-4))
-    assert got(lm.scored(docs), "doc_id", "n_tokens", "log_score") == want
+    assert got(lm.scored(docs, least=least), "doc_id", "n_tokens", "log_score") == want
     assert lm.scored(empty(spark)).count() == 0
 
 
@@ -261,6 +311,11 @@ def test_decontamination(spark):
             t[len(t) // 2 : len(t) // 2] = item
         rows.append((i, " ".join(t) if i != 7 else None, 0))
     rows.append((100, "Two, words!", 0))
+    for i in range(200, 230):  # rotated, and with halves apart
+        item = items[i % 20][1].split()
+        at = rng.randrange(len(item))
+        item = item[at:] + [rng.choice(words)] * (i % 3 - 1) + item[:at]
+        rows.append((i, " ".join([rng.choice(words) for _ in range(rng.randint(0, 40))] + item + [rng.choice(words) for _ in range(rng.randint(0, 40))]), 0))
 
     def shingles(t):
         w = re.findall(r"\w+", (t or "").lower())
@@ -279,7 +334,7 @@ def test_decontamination(spark):
         want[i] = (sorted(hits),)
     d, b = spark.createDataFrame(rows, "doc_id long, text string, n int"), spark.createDataFrame(items, "item_id long, text string, doc_id string")
     assert got(decontam.decontaminated(d, b), "doc_id", "item_ids") == want
-    assert sum(bool(x[0]) for x in want.values()) > 5 and want[100] == ([98],)
+    assert sum(bool(x[0]) for x in want.values()) > 5 and want[100] == ([98],) and sum(bool(want[i][0]) for i in range(200, 230)) > 10
     assert decontam.decontaminated(d.limit(0), b).count() == 0
     assert not any(x[0] for x in got(decontam.decontaminated(d, b.limit(0)), "doc_id", "contaminated").values())
 
@@ -349,12 +404,44 @@ def test_main_text(spark):
     assert html_main.main_text(page) == "T & x\none two\nthree"
     assert html_main.main_text(None) == html_main.main_text("<nav>x</nav>") == ""
     assert html_main.main_text("<div>" * 3000 + "deep") == "deep"
-    rows = [(i, f"http://h.org/{i}", f"<div><div><em>Site slogan</em></div><p>own {i}</p></div>") for i in range(12)] + [(12, None, None)]
-    found = got(html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text")
-    assert found == {i: (f"own {i}" if i < 12 else "",) for i in range(13)}
+    assert html_main.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert H.unescape("&amp;") == "&"
 
 
+def test_templates_against_brute_force(spark):
+    slogan = "<div><div><em>Site slogan</em></div>"
+    rows = [(i, f"http://h.org/{i}", f"{slogan}<p>own {i}</p></div>") for i in range(12)]  # a template
+    rows += [(20 + i, f"http://copies.org/{i}", f"<p>the same</p><p>article {i // 9}</p>") for i in range(10)]  # copies: two pages
+    rows += [(40 + i, f"https://me@few.org:8/{i}", f"{slogan}<p>own {i}</p></div>") for i in range(4)]  # too few pages
+    rows += [(50 + i, f"http://half.org/{i}", f"<p>{'often' if i % 2 else i}</p><p>own {i}</p>") for i in range(10)]  # on half of them, not over half
+    rows += [(60 + i, f"http://most.org/{i}", f"<div><p>{'often' if i % 3 else i}</p><p>own {i}</p></div>") for i in range(9)]
+    rows += [(80, None, None), (80, None, ""), (None, "no address", "<p>x</p>"), (81, "http://h.org/0", rows[0][2]), (81, "http://h.org/0", rows[0][2])]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "text": F.lit(2), "template": F.lit(3)})
+
+    def expected(share, least):
+        trees = [html_main.tree(h) for *_, h in rows]
+        hosts = [re.sub("^.*@", "", u.split("/")[2]).split(":")[0] if u and "//" in u else "" for _, u, _ in rows]
+        pages = collections.defaultdict(dict)
+        for host, t in zip(hosts, trees, strict=True):
+            hashes = sorted(html_main._signed(x) for x in html_main.subtree_hashes(t))
+            same = html_main.text_of(html_main.pruned(t))
+            pages[host][same] = min(pages[host].get(same, hashes), hashes)
+        out = []
+        for (i, _, h), host in zip(rows, hosts, strict=True):
+            count = collections.Counter(x for hashes in pages[host].values() for x in hashes)
+            n = len(pages[host])
+            out.append((i, html_main.main_text(h, {x % (1 << 64) for x, c in count.items() if n >= least and c >= least and c > share * n})))
+        return sorted(out, key=repr)
+
+    found = {}
+    for share, least in ((0.5, 5), (0.5, 3), (0.9, 5)):
+        found[share, least] = sorted(((r.page_id, r.text) for r in html_main.main_texts(d, share, least).collect()), key=repr)
+        assert found[share, least] == expected(share, least)
+    texts_ = dict(found[0.5, 5])
+    assert texts_[3] == "own 3" and texts_[21] == "the same\narticle 0" and texts_[41] == "Site slogan\nown 1" and texts_[51] == "often\nown 1" and texts_[61] == "own 1" and texts_[80] == ""
+    assert dict(found[0.5, 3])[41] == "own 1" and dict(found[0.9, 5])[61] == "often\nown 1"
+
+
 def test_warc(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "v", ""), (5, "v", "é" * 3000), (6, "w", "other")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
@@ -364,8 +451,26 @@ def test_warc(spark):
     assert found[6].payload_digest == warc.bare_digest(b"other")
 
 
+def test_warc_of_rows_that_share_ids(spark, tmp_path, monkeypatch):
+    rows = [(1, "u", "same"), (1, "u", "other"), (2, "u", "same"), (2, "u", "same"), (2, "a", "same"), (None, "u", "same"), (None, "u", "alone"), (None, None, "twins"), (None, None, "twins"), (7, None, None), (8, "x\ny", "")]
+    want = sorted(
+        [(1, "u", "revisit", 2, b"same"), (1, "u", "response", None, b"other"), (2, "u", "response", None, b"same"), (2, "u", "revisit", 2, b"same"), (2, "a", "revisit", 2, b"same"), (None, "u", "revisit", 2, b"same"), (None, "u", "response", None, b"alone"),
+         (None, "", "response", None, b"twins"), (None, "", "revisit", None, b"twins"), (7, "", "revisit", 8, b""), (8, "xy", "response", None, b"")], key=repr)
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha": F.lit(1), "key": F.lit(2), "n": F.lit(3), "response": F.lit(4)})
+    payload = {warc.bare_digest(p): p for *_, p in want}
+    held = lambda df: sorted(((r.page_id, r.url, r.record_type, r.refers_to, payload[r.payload_digest]) for r in df.collect() if r.error is None and (r.record_type == "revisit" or bytes(r.payload) == payload[r.payload_digest])), key=repr)
+    for hot in (100_000, 1):
+        monkeypatch.setattr(warc, "HOT", hot)
+        archives = warc.write_archives(d)
+        assert held(warc.read_archives(archives)) == want
+    for r in archives.collect():
+        (tmp_path / r.name).write_bytes(bytes(r.content))
+    assert held(warc.read_files(spark, str(tmp_path))) == want
+    assert warc.read_archives(warc.write_archives(d.limit(0))).count() == 0
+
+
 def test_broken_archives():
-    good = warc.pack([warc.record(1, "u", b"x" * 100, warc.bare_digest(b"x" * 100), 100, None)])
+    good = warc.pack([warc.record(1, "u", b"x" * 100, warc.bare_digest(b"x" * 100), 100, False)])
     assert warc.parse(next(warc.frames(good)))["error"] is None
     with pytest.raises(ValueError):
         list(warc.frames(good[:-3]))

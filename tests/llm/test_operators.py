@@ -503,6 +503,19 @@ def test_stages_tell_rows_apart_that_share_an_id(spark):
     assert all(words[x] <= 2 * len(x[1].split()) * rows.count(x) for x in words)
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = random.Random(1)
+    for n in (0, 1, 5, 63, 64, 65, 200, 1000, 5000):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        for m in (0, n // 10, n // 3, n):
+            b = set(list(a)[m:]) | {rng.getrandbits(64) for _ in range(rng.randint(0, n))}
+            x, y = (near.sketch(np.unique(np.array(sorted(s), np.uint64))) for s in (a, b))
+            assert near.differing(x, y) == near.differing(y, x) <= len(a ^ b)
+            assert near.differing(x, x) == 0
+    far = [near.sketch(np.array(sorted({rng.getrandbits(64) for _ in range(400)}), np.uint64)) for _ in range(2)]
+    assert near.differing(*far) > 800 / 9  # sets apart are ruled out
+
+
 def test_near_copies_against_all_pairs(spark, monkeypatch):
     rng = random.Random(12)
     vocabulary = [f"w{k}" for k in range(800)]

@@ -75,7 +75,9 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs whose result is written: it learns of them by garbage collection, first of Python's references, then of the JVM's."""
+    """Lets Spark's cleaner drop the shuffle files of jobs whose result is written: it learns of them by garbage collection, first of Python's references, then of the JVM's. It only saves disk; a local run needs none of it."""
+    if spark.sparkContext.master.startswith("local["):
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

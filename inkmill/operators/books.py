@@ -4,24 +4,58 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import ws_words
+from inkmill.functions.text import normalize_line, ws_words
 
 HEADING_WORDS, PROSE_WORDS, LOOKAHEAD, SCENE = 12, 40, 3, 3
 CONTINUATION, CONTEXT_WORDS, CUTS, BOOKS_PER_AUTHOR, SEED = (300, 800), 2000, 6, 3, 20261005
-HEADING = r"^(?i:chapter|part|book|volume|act|scene)\b|^[IVXLC]+\.?$"
+#: The marks of a book's start and end, of notes in it, of headings and of breaks.
+START = r"(?im)^\*{3}\s*START OF (?:THE|THIS) PROJECT GUTENBERG E(?:BOOK|TEXT).*$"
+END = r"(?im)^\*{3}\s*END OF (?:THE|THIS) PROJECT GUTENBERG E(?:BOOK|TEXT).*$"
+BRACKETED = r"(?is)\[(?:Illustration|Footnote|Sidenote|Transcriber|Note)\b[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"
+FOOTNOTE_MARK = r"\[(?:\d+|[A-Z])\]"
+ITALICS = r"(?sU)(?<!\w)_(?=\S)(.+?)(?<=\S)_(?!\w)"
+DASH = r"-{2,}"
+PRODUCTION_NOTE = r"(?i)^(?:produced by|e-?text prepared by|transcriber'?s? notes?|this e-?book was produced|updated editions|end of (?:the )?project gutenberg)"
+HEADING = r"(?i)^(?:(?:chapter|book|part|volume|epilogue|prologue|interlude)\b.{0,80}|[IVXLC]+\.?|\d+\.?|[IVXLC]+\.\s.{0,80}|the end\.?)$"
+SCENE_BREAK = r"^[\s*·.•\-—_=#~+]+$"
+STORY_HEADING = r"(?i)^(?:chapter|book|part)\s+(?:i|1|one|first)\b|^(?:i|1)\.?(?:\s|$)"
 
 
 def paragraph_type(p: Column, indented: Column | None = None) -> Column:
     """break, heading, block or prose."""
     capitals = (p == F.upper(p)) & (p != F.lower(p)) & ~p.startswith('"')
-    kind = F.when(p.rlike(r"^[\s*.\-_~]+$"), F.lit("break")).when((F.size(ws_words(p)) <= HEADING_WORDS) & (p.rlike(HEADING) | capitals), F.lit("heading"))
+    kind = F.when(p.rlike(SCENE_BREAK), F.lit("break")).when((F.size(ws_words(p)) <= HEADING_WORDS) & (p.rlike(HEADING) | capitals), F.lit("heading"))
     return (kind.when(indented, F.lit("block")) if indented is not None else kind).otherwise(F.lit("prose"))
 
 
+def book_body(raw: Column) -> Column:
+    """The text between a book's marks, without notes in brackets, with plain italics and long dashes; null if a mark is missing."""
+    text = F.replace(F.regexp_replace(raw, "^\ufeff", ""), F.lit("\r\n"), F.lit("\n"))
+    body = F.get(F.split(F.get(F.split(text, START, 2), F.lit(1)), END, 2), F.lit(0))
+    body = F.when(text.rlike(START) & F.get(F.split(text, START, 2), F.lit(1)).rlike(END), body)
+    body = F.regexp_replace(F.regexp_replace(body, BRACKETED, ""), FOOTNOTE_MARK, "")
+    return F.regexp_replace(F.regexp_replace(body, ITALICS, "$1"), DASH, "—")
+
+
+def book_paragraphs(books: DataFrame) -> DataFrame:
+    """(doc_id, pos, type, words, text) of books(doc_id, raw): stretches between blank lines, each on one line, from the first story heading that has prose close behind. Books without marks or such a heading have no rows."""
+    chunks = books.select("doc_id", F.posexplode_outer(F.split(book_body(F.col("raw")), r"\n[ \t]*\n")).alias("at", "chunk")).where("chunk is not null")
+    lines = F.filter(F.split("chunk", "\n"), lambda x: F.size(ws_words(x)) > 0)
+    rows = chunks.withColumn("lines", lines).where(F.size("lines") > 0)
+    rows = rows.select("doc_id", "at", F.forall("lines", lambda x: x.rlike(r"^\s{2,}\S")).alias("indented"), normalize_line(F.array_join("lines", " ")).alias("text"))
+    rows = rows.where(~F.col("text").rlike(PRODUCTION_NOTE))
+    rows = rows.select("doc_id", "at", paragraph_type(F.col("text"), F.col("indented")).alias("type"), F.size(ws_words(F.col("text"))).cast("long").alias("words"), "text")
+    rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("long")).drop("at")
+    first = story_start(rows).withColumnRenamed("start", "first")
+    rows = rows.join(first, "doc_id").where(F.col("pos") >= F.col("first"))
+    return rows.select("doc_id", (F.col("pos") - F.col("first")).alias("pos"), "type", "words", "text")
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, type, words, text): the non-blank lines of each text."""
     lines = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "text"))
@@ -38,38 +72,58 @@ def prefix_words(paras: DataFrame) -> DataFrame:
     return paras.select("*", before.alias("before"), F.coalesce(scene, F.lit(False)).alias("scene"), stop.alias("stop"))
 
 
-def cut_candidates(paras: DataFrame, target: int = CONTINUATION[0], most: int = CONTINUATION[1]) -> DataFrame:
-    """(doc_id, start, end, target_words): from each start after a scene, paragraphs up to the first that reaches target words, all prose, most words at most."""
-    p = prefix_words(paras)
-    starts = p.where("scene and type = 'prose'").select("doc_id", F.col("pos").alias("start"), F.col("before").alias("from_"), "stop")
-    ends = p.select(F.col("doc_id").alias("e_doc"), F.col("pos").alias("last"), (F.col("before") + F.col("words")).alias("to_"))
-    reach = starts.join(ends, (F.col("doc_id") == F.col("e_doc")) & (F.col("last") >= F.col("start")) & (F.col("to_") - F.col("from_") >= target) & (F.col("stop").isNull() | (F.col("last") < F.col("stop"))))
-    first = reach.groupBy("doc_id", "start").agg(F.min(F.struct("last", (F.col("to_") - F.col("from_")).alias("n"))).alias("m"))
-    return first.select("doc_id", "start", (F.col("m.last") + 1).alias("end"), F.col("m.n").alias("target_words")).where(F.col("target_words") <= most)
-
-
-def cut_sample(cuts: DataFrame, n: int = CUTS) -> DataFrame:
-    """n cuts of each book at most, no two overlapping, drawn by a generator seeded with the book's id from equal stretches of its starts."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rng, out, free = pdf.sort_values("start"), random.Random(f"{SEED}:{pdf.doc_id.iloc[0]}"), [], -1
-        low, high = pdf.start.min(), pdf.start.max() + 1
-        for k in range(n):
-            part = pdf[(pdf.start >= low + (high - low) * k / n) & (pdf.start < low + (high - low) * (k + 1) / n) & (pdf.start >= free)]
-            if len(part):
-                row = part.iloc[rng.randrange(len(part))]
-                out.append((int(row.doc_id), int(row.start), int(row.end)))
-                free = row.end
-        return pd.DataFrame(out, columns=["doc_id", "start", "end"])
-
-    return cuts.groupBy("doc_id").applyInPandas(pick, "doc_id long, start long, end long")
+def cut_candidates(paras: DataFrame, target: int = CONTINUATION[0], most: int = CONTINUATION[1], context: int = CONTEXT_WORDS) -> DataFrame:
+    """(doc_id, start, end, target_words): from each start after a scene and after `context` words, paragraphs up to the first that reaches target words, all prose, most words at most.
+
+    Words before a paragraph rise with its place, so the first end in reach is the first row of a range of them.
+    """
+    p = prefix_words(paras).withColumn("upto", F.col("before") + F.col("words"))
+    nothing = F.lit(None).cast("long")
+    marks = p.select("doc_id", "upto", F.col("pos").alias("last"), nothing.alias("start"), nothing.alias("before"), nothing.alias("stop"))
+    asks = p.where(F.col("scene") & (F.col("type") == "prose") & (F.col("before") >= context)).select("doc_id", (F.col("before") + target).alias("upto"), nothing.alias("last"), F.col("pos").alias("start"), "before", "stop")
+    # downwards, so that the least end so far is kept from row to row
+    reach = Window.partitionBy("doc_id").orderBy(F.desc("upto")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.unionByName(asks).withColumn("end_at", F.min(F.when(F.col("last").isNotNull(), F.struct("upto", "last"))).over(reach))
+    found = found.where("start is not null").select("doc_id", "start", F.col("end_at.last").alias("last"), (F.col("end_at.upto") - F.col("before")).alias("target_words"), "stop")
+    return found.where((F.col("target_words") <= most) & (F.col("stop").isNull() | (F.col("last") < F.col("stop")))).select("doc_id", "start", (F.col("last") + 1).alias("end"), "target_words")
+
+
+def cut_sample(paras: DataFrame, n: int = CUTS, words: tuple[int, int] = CONTINUATION, context: int = CONTEXT_WORDS) -> DataFrame:
+    """(doc_id, start, end): n cuts of each book at most, drawn by a generator seeded with the book's id.
+
+    Each start after a scene and after `context` words draws a length, in order; it counts if prose paragraphs
+    reach that length within words[1]. Then each of n equal stretches of the words after context draws one of
+    its starts, none inside the cut before. One task reads a book's paragraphs without their texts.
+    """
+    p = prefix_words(paras).select("doc_id", "pos", "before", "words", "scene", "type", "stop")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, rng = pdf.sort_values("pos"), random.Random(f"{SEED}:{pdf.doc_id.iloc[0]}")
+        upto, before, kept = (pdf.before + pdf.words).to_numpy(), pdf.before.to_numpy(), []
+        for k in np.flatnonzero(pdf.scene.to_numpy() & (before >= context)).tolist():
+            wanted = rng.randint(*words)
+            last = int(np.searchsorted(upto, before[k] + wanted))
+            stop = pdf.stop.iloc[k]
+            if last < (len(pdf) if pd.isna(stop) else int(stop)) and words[0] <= upto[last] - before[k] <= words[1]:
+                kept.append((k, last + 1))
+        whole, free, out = int(upto[-1]) - context, 0, []
+        for part in range(n):
+            low, high = (context + whole * x / n for x in (part, part + 1))
+            fits = [c for c in kept if low <= before[c[0]] < high and c[0] >= free]
+            if fits:
+                out.append(rng.choice(fits))
+                free = out[-1][1]
+        return pd.DataFrame([(int(pdf.doc_id.iloc[0]), *c) for c in out], columns=["doc_id", "start", "end"])
+
+    return p.groupBy("doc_id").applyInPandas(draw, "doc_id long, start long, end long")
 
 
 def story_start(paras: DataFrame) -> DataFrame:
-    """(doc_id, start): the first heading with long prose close behind."""
+    """(doc_id, start): the first heading of a story's opening with long prose close behind."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, LOOKAHEAD)
     long_prose = ((F.col("type") == "prose") & (F.col("words") >= PROSE_WORDS)).cast("int")
-    return paras.withColumn("ahead", F.max(long_prose).over(w)).where("type = 'heading' and ahead = 1").groupBy("doc_id").agg(F.min("pos").alias("start"))
+    opens = (F.col("type") == "heading") & F.col("text").rlike(STORY_HEADING)
+    return paras.withColumn("ahead", F.max(long_prose).over(w)).where(opens & (F.col("ahead") == 1)).groupBy("doc_id").agg(F.min("pos").alias("start"))
 
 
 def passages(cuts: DataFrame, paras: DataFrame) -> DataFrame:

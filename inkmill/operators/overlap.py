@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from inkmill.functions.text import fold, ngrams, word_tokens, ws_words
 
 PROBE_NGRAM, MOST_FRACTION, LEAST_RUN, COPY_SPAN, IDENTIFIER = 13, 0.05, 20, 12, 5
-#: The families of red flags.
+#: The families of red flags, over folded text.
 RED_FLAGS = {
-    "leaked_markup": r"\{|\}|</?[a-z]+>",
-    "origin_detection": r"human-written|machine-written|ai-generated|written by (a|an) (model|ai)",
-    "position": r"first (draft|text)|second (draft|text)",
-    "wrapper_override": r"weighted\s+mean|json",
+    "origin_preference": r"(?:prefer|reward|favor|favour|boost)\s+(?:the\s+)?(?:human|expert|original)|(?:penaliz|penalis|punish|downscore)\w*\s+(?:the\s+)?(?:model|ai|generated)",
+    "origin_detection": r"(?:detect|guess|infer|identify|determine)\s+(?:the\s+)?(?:authorship|origin|provenance)|(?:human.written|ai.generated|model.generated)\s+(?:tells|markers|signals)",
+    "wrapper_override": r"(?:ignore|override|replace)\s+(?:the\s+)?(?:wrapper|system|grading|schema)|(?:weighted\s+(?:mean|average)|unequal\s+weight|score\s+(?:from\s+)?0\s*(?:to|[-–])\s*100)",
+    "leaked_markup": r"<tool_call|<function=|</function|<\|im_|\{\s*$",
 }
 #: Rows of the smaller side up to which it is broadcast.
 MOST_BROADCAST = 500_000
@@ -78,3 +78,12 @@ def identifier_leaks(proposals: DataFrame, identifiers: DataFrame, least: int =
 
 def red_flags(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(fold(text).rlike(p), F.lit(k)) for k, p in RED_FLAGS.items()])))
+
+
+def audited(proposals: DataFrame, sources: DataFrame, identifiers: DataFrame, most_words: int, allowed: str = "") -> DataFrame:
+    """(doc_id, words, reasons, accepted) of proposals(doc_id, text): too many words, red flags, and what they leak of the sources: spans and identifiers."""
+    leaks = copied_spans(proposals, sources, allowed).select("doc_id").unionByName(identifier_leaks(proposals, identifiers).select("doc_id")).distinct().withColumn("leaks", F.lit(True))
+    words = F.size(ws_words(F.col("text"))).cast("long")
+    long = F.when(words > most_words, F.lit("meta_prompt_word_bound"))
+    rows = proposals.join(leaks, "doc_id", "left").select("doc_id", words.alias("words"), F.array_sort(F.array_compact(F.concat(F.array(long, F.when(F.col("leaks"), F.lit("training_leakage"))), red_flags(F.col("text"))))).alias("reasons"))
+    return rows.withColumn("accepted", F.size("reasons") == 0)

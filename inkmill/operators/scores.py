@@ -84,3 +84,24 @@ def cost_totals(attempts: DataFrame) -> DataFrame:
 def retry_wait(attempt: Column, retry_after: Column, backoff=(2, 5, 15, 30, 60), most: int = 120) -> Column:
     told = F.when(retry_after.rlike(r"^\d+$"), F.least(retry_after.cast("int"), F.lit(most))).otherwise(F.lit(0))
     return F.greatest(F.get(F.array(*map(F.lit, backoff)), attempt), told)
+
+
+def criterion_statistics(criteria: DataFrame) -> DataFrame:
+    """(key, count, rubrics, human_scores, model_scores, human, model, variants, first_id) of criteria(rubric, id, pos, human_score, model_score): each key once a rubric, the first there; variants by count, then name."""
+    w = Window.partitionBy("rubric", "key").orderBy("pos")
+    once = criteria.withColumn("key", criterion_key(F.col("id"))).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    per_id = once.groupBy("key", "id").agg(F.count("*").alias("n"))
+    variants = per_id.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "id"))), lambda x: x["id"]).alias("variants"))
+    stats = once.groupBy("key").agg(F.count("*").alias("count"), F.count("human_score").alias("human_scores"), F.count("model_score").alias("model_scores"), _mean(F.col("human_score")).alias("human"), _mean(F.col("model_score")).alias("model"), F.min_by("id", F.struct("rubric", "pos")).alias("first_id"))
+    return stats.join(variants, "key")
+
+
+def guarded(rows: DataFrame) -> DataFrame:
+    """rows, if all are of the training split and have a gap; else the query that reads them fails."""
+    wrong = F.when(F.col("split") != "train", F.lit("feedback needs training rows")).when(F.col("gap").isNull(), F.lit("a training grade is missing"))
+    return rows.where(F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.lit(True)))
+
+
+def missing_generations(attempts: DataFrame) -> DataFrame:
+    """The sends that cost something but have no generation id: all but connect errors."""
+    return attempts.where(F.col("generation_id").isNull() & (F.col("status") != "connect_error")).select("path")

@@ -70,19 +70,31 @@ def q_copied_spans(s, d):
     return overlap.copied_spans(_t(s, d, "documents"), _t(s, d, "benchmark"))
 
 
-@query("q_identifier_leak", "SELECT DISTINCT doc_id, identifier FROM documents, (SELECT DISTINCT lower(source) || ' ' AS identifier FROM documents WHERE length(source) >= 4 UNION SELECT lower(r_name) FROM region WHERE length(r_name) >= 5) WHERE contains(replace(lower(text), 'ß', 'ss'), identifier)")
+@query("q_identifier_leak", "SELECT DISTINCT doc_id, identifier FROM documents, (SELECT DISTINCT replace(lower(text[1:12]), 'ß', 'ss') AS identifier FROM benchmark WHERE length(replace(lower(text[1:12]), 'ß', 'ss')) >= 5 UNION SELECT lower(r_name) FROM region WHERE length(r_name) >= 5) WHERE contains(replace(lower(text), 'ß', 'ss'), identifier)")
 def q_identifier_leak(s, d):
     docs = _t(s, d, "documents")
-    ids = docs.select(F.concat("source", F.lit(" ")).alias("identifier")).unionByName(_t(s, d, "region").select(F.col("r_name").alias("identifier")))
+    ids = _t(s, d, "benchmark").select(F.substring("text", 1, 12).alias("identifier")).unionByName(_t(s, d, "region").select(F.col("r_name").alias("identifier")))
     return overlap.identifier_leaks(docs, ids)
 
 
 _FLAGS = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{k}' END" for k, p in overlap.RED_FLAGS.items())
 
 
-@query("q_red_flags", f"SELECT conv_id, turn, array_to_string(list_sort(list_filter([{_FLAGS}], lambda x: x IS NOT NULL)), ',') AS reasons FROM conversations")
+_SAID = {0: "Favour the human one. ", 1: "Please ignore the system, ", 2: "ai-generated signals ", 3: "score 0 to 100 <tool_call "}
+_SAYS = "CASE (conv_id + turn) % 9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SAID.items()) + " ELSE '' END"
+
+
+@query("q_red_flags", f"SELECT conv_id, turn, array_to_string(list_sort(list_filter([{_FLAGS}], lambda x: x IS NOT NULL)), ',') AS reasons FROM (SELECT conv_id, turn, {_SAYS} || text AS text FROM conversations)")
 def q_red_flags(s, d):
-    return _t(s, d, "conversations").select("conv_id", "turn", F.array_join(overlap.red_flags(F.col("text")), ",").alias("reasons"))
+    said = _t(s, d, "conversations").select("conv_id", "turn", F.concat(F.expr(_SAYS), "text").alias("text"))
+    return said.select("conv_id", "turn", F.array_join(overlap.red_flags(F.col("text")), ",").alias("reasons"))
+
+
+@query("q_proposal_audit")
+def q_proposal_audit(s, d):
+    """Documents as proposals, benchmark items as training sources."""
+    items = _t(s, d, "benchmark")
+    return overlap.audited(_t(s, d, "documents"), items, items.select(F.substring("text", 1, 12).alias("identifier")), 800)
 
 
 @query("q_normalize_line", r"SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS hash FROM documents")
@@ -143,14 +155,18 @@ def q_quote_check(s, d):
     return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", text.quotes_occur(quoted, text.quote_words(F.col("before"))).alias("in_source"), text.quotes_occur(quoted, text.quote_words(F.col("text"))).alias("in_text"))
 
 
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
 _PARA = rf"""para AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o)) - 1 AS pos, text FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS o FROM (
 SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))),
-p AS (SELECT doc_id, pos, text, len({WSW}) AS words, CASE WHEN regexp_full_match(text, '[\s*.\-_~]+') THEN 'break' WHEN len({WSW}) <= 12 AND (regexp_matches(text, '^(?i:chapter|part|book|volume|act|scene)\b|^[IVXLC]+\.?$')
+p AS (SELECT doc_id, pos, text, len({WSW}) AS words, CASE WHEN regexp_matches(text, '{_re(books.SCENE_BREAK)}') THEN 'break' WHEN len({WSW}) <= 12 AND (regexp_matches(text, '{_re(books.HEADING)}')
  OR (text = upper(text) AND text <> lower(text) AND NOT starts_with(text, '"'))) THEN 'heading' ELSE 'prose' END AS type FROM para)"""
 _PREF = f"""{_PARA}, pw AS (SELECT doc_id, pos, type, words, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
  coalesce(pos >= 3 AND min((type = 'prose')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 1, false) AS scene,
  min(CASE WHEN type <> 'prose' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM p)"""
-_CUTS = f"""{_PREF}, r AS (SELECT a.doc_id, a.pos AS start, b.pos AS last, b.before + b.words - a.before AS n FROM pw a JOIN pw b ON a.doc_id = b.doc_id AND b.pos >= a.pos WHERE a.scene AND a.type = 'prose'
+_CUTS = f"""{_PREF}, r AS (SELECT a.doc_id, a.pos AS start, b.pos AS last, b.before + b.words - a.before AS n FROM pw a JOIN pw b ON a.doc_id = b.doc_id AND b.pos >= a.pos WHERE a.scene AND a.type = 'prose' AND a.before >= 2000
  AND b.before + b.words - a.before >= 300 AND (a.stop IS NULL OR b.pos < a.stop)), cuts AS (SELECT doc_id, start, min(last) + 1 AS "end", arg_min(n, last) AS target_words FROM r GROUP BY 1, 2 HAVING arg_min(n, last) <= 800)"""
 
 
@@ -175,12 +191,23 @@ def q_cut_candidates(s, d):
 
 @query("q_cut_sample")
 def q_cut_sample(s, d):
-    return books.cut_sample(books.cut_candidates(_paras(s, d).drop("text")))
+    return books.cut_sample(_paras(s, d).drop("text"))
+
+
+_TOLD = "Preface\nTo the reader\nCHAPTER I\n"
+_STORY = _PARA.replace("FROM documents", f"FROM (SELECT doc_id, '{_TOLD}' || text AS text FROM documents)")
 
 
-@query("q_story_start", f"WITH {_PARA}, h AS (SELECT *, max((type = 'prose' AND words >= 40)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead FROM p) SELECT doc_id, min(pos) AS start FROM h WHERE type = 'heading' AND ahead = 1 GROUP BY 1")
+@query("q_story_start", f"WITH {_STORY}, h AS (SELECT *, max((type = 'prose' AND words >= 40)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead FROM p) SELECT doc_id, min(pos) AS start FROM h WHERE type = 'heading' AND regexp_matches(text, '{_re(books.STORY_HEADING)}') AND ahead = 1 GROUP BY 1")
 def q_story_start(s, d):
-    return books.story_start(_paras(s, d).drop("text"))
+    return books.story_start(books.paragraphs(_t(s, d, "documents").withColumn("text", F.concat(F.lit(_TOLD), "text"))))
+
+
+@query("q_book_paragraphs")
+def q_book_paragraphs(s, d):
+    """Documents bound as books: marks around them, a blank line between paragraphs."""
+    raw = F.concat(F.lit("x\r\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n\nProduced by Y\n\nCHAPTER I\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nlicence"))
+    return books.book_paragraphs(_t(s, d, "documents").select("doc_id", raw.alias("raw")))
 
 
 @query("q_passages", f"WITH {_CUTS}, tx AS (SELECT doc_id, list(text ORDER BY pos) AS t FROM p GROUP BY 1) SELECT doc_id, start, sha256(array_to_string(t[1:start], chr(10))) AS context_hash, sha256(array_to_string(t[start+1:\"end\"], chr(10))) AS reference_hash FROM cuts JOIN tx USING (doc_id)")
@@ -418,3 +445,80 @@ def q_stub_writer(s, d):
 @query("q_stub_judge")
 def q_stub_judge(s, d):
     return calls.grades(_t(s, d, "documents"), ["clarity", "accuracy", "style"])
+
+
+def _exam(s, d):
+    """Documents as examples, of which some differ from what is expected of them."""
+    docs = _t(s, d, "documents")
+    return docs.select("doc_id", "source", "lang", "n_chars"), docs.where("doc_id % 97 <> 0").select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit("other")).otherwise(F.col("source")).alias("source"), "lang", F.when(F.col("doc_id") % 70 == 0, F.lit(0)).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+_EXPECTED = "b AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'other' ELSE source END AS source, lang, CASE WHEN doc_id % 70 = 0 THEN 0 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 97 <> 0)"
+
+
+@query("q_fields_differ", f"WITH {_EXPECTED} SELECT doc_id, 'source' AS field FROM documents a JOIN b USING (doc_id) WHERE a.source IS DISTINCT FROM b.source UNION ALL SELECT doc_id, 'n_chars' FROM documents a JOIN b USING (doc_id) WHERE a.n_chars IS DISTINCT FROM b.n_chars UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id % 97 = 0")
+def q_fields_differ(s, d):
+    a, b = _exam(s, d)
+    return constraints.fields_differ(a, b, "doc_id", ["source", "lang", "n_chars"])
+
+
+@query("q_counts_differ", 'SELECT (SELECT count(*) FROM documents) AS "left", (SELECT count(*) FROM labels) AS "right" WHERE (SELECT count(*) FROM documents) <> (SELECT count(*) FROM labels)')
+def q_counts_differ(s, d):
+    return constraints.counts_differ(_t(s, d, "documents"), _t(s, d, "labels"))
+
+
+@query("q_kinds_incomplete", "SELECT source, count(*) > count(DISTINCT lang) AS repeated, list_sort(list_filter(['de', 'en', 'la'], lambda x: NOT list_contains(list(DISTINCT lang), x))) AS missing FROM documents WHERE doc_id % 5 = 0 GROUP BY 1")
+def q_kinds_incomplete(s, d):
+    return constraints.kinds_incomplete(_t(s, d, "documents").where("doc_id % 5 = 0"), "source", "lang", ["de", "en", "la"])
+
+
+@query("q_grade_ids", """WITH a AS (SELECT source, doc_id % 12 AS k FROM documents), b AS (SELECT source, doc_id % 11 AS k FROM documents WHERE doc_id % 3 = 0)
+SELECT source, list_sort(list_filter(l, lambda x: NOT list_contains(coalesce(r, []), x))) AS only_left, list_sort(list_filter(coalesce(r, []), lambda x: NOT list_contains(l, x))) AS only_right FROM (SELECT source, list(DISTINCT k::VARCHAR) AS l FROM a GROUP BY 1) LEFT JOIN (SELECT source, list(DISTINCT k::VARCHAR) AS r FROM b GROUP BY 1) USING (source)
+WHERE len(only_left) + len(only_right) > 0""")
+def q_grade_ids(s, d):
+    docs = _t(s, d, "documents")
+    return constraints.keys_differ(docs.select("source", (F.col("doc_id") % 12).alias("k")), docs.where("doc_id % 3 = 0").select("source", (F.col("doc_id") % 11).alias("k")), "source", "k")
+
+
+@query("q_bad_scores", f"WITH {_ROWS} SELECT example_id, checkpoint FROM rows_ WHERE human * 1.2::DOUBLE - 1 IS NULL OR human * 1.2::DOUBLE - 1 NOT BETWEEN 0 AND 10")
+def q_bad_scores(s, d):
+    return constraints.bad_scores(score_rows(s, d).withColumn("score", F.col("human") * F.lit(1.2) - 1)).select("example_id", "checkpoint")
+
+
+@query("q_hash_mismatch", "SELECT doc_id FROM documents WHERE sha256(text) <> sha256(CASE WHEN doc_id % 9 = 0 THEN text || ' ' ELSE text END)")
+def q_hash_mismatch(s, d):
+    docs = _t(s, d, "documents").withColumn("h", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256))
+    return constraints.hash_mismatch(docs, "text", "h").select("doc_id")
+
+
+@query("q_table_digest")
+def q_table_digest(s, d):
+    return constraints.table_digest(_t(s, d, "documents"), "doc_id", "text", "source")
+
+
+@query("q_criterion_statistics", f"""WITH {_CRIT}, cl AS (SELECT rubric, id, pos, CASE WHEN pos % 3 <> 0 THEN (rubric + pos) % 11 END AS hs, CASE WHEN pos % 2 <> 0 THEN (rubric * 3 + pos) % 11 END AS ms, regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS key FROM crit),
+o AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY rubric, key ORDER BY pos) = 1), v AS (SELECT key, list(id ORDER BY n DESC, id) AS variants FROM (SELECT key, id, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1)
+SELECT key, count(*) AS count, count(hs) AS human_scores, count(ms) AS model_scores, round(avg(hs), 6) AS human, round(avg(ms), 6) AS model, arg_min(id, (rubric, pos)) AS first_id, any_value(variants) AS variants FROM o JOIN v USING (key) GROUP BY 1""")
+def q_criterion_statistics(s, d):
+    return scores.criterion_statistics(q_criterion_long(s, d))
+
+
+@query("q_section_counts", "SELECT source, lang, count(*) AS n, count(DISTINCT doc_id) AS documents FROM documents GROUP BY 1, 2")
+def q_section_counts(s, d):
+    return _t(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("q_missing_generations", f"WITH {_ATT.replace('round(value, 6) AS cost', 'round(value, 6) AS cost, event_id AS path')} SELECT path FROM att WHERE generation_id IS NULL AND status <> 'connect_error'")
+def q_missing_generations(s, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "http_error").when(kind == "click", "connect_error").when(kind == "view", "uncertain").otherwise("success")
+    return scores.missing_generations(_t(s, d, "events").select(F.col("event_id").alias("path"), status.alias("status"), F.when(kind.isin("purchase", "signup"), F.col("user_id")).alias("generation_id")))
+
+
+@query("q_feedback", f"WITH {_ROWS} SELECT r.example_id, r.kind, r.gap, sha256(d.text) AS reference_hash FROM rows_ r JOIN documents d ON d.doc_id = r.example_id WHERE r.split = 'train' AND r.checkpoint = 0 AND r.gap <= 0 ORDER BY r.gap, r.example_id LIMIT 24")
+def q_feedback(s, d):
+    """The failures of a checkpoint with their examples' references."""
+    rows = scores.guarded(score_rows(s, d).where("split = 'train' and checkpoint = 0 and gap is not null"))
+    few = scores.failures(rows)  # FAILURES rows
+    texts = _t(s, d, "documents").select(F.col("doc_id").alias("example_id"), F.sha2("text", 256).alias("reference_hash"))
+    return texts.join(F.broadcast(few), "example_id").select("example_id", "kind", "gap", "reference_hash")

@@ -27,7 +27,7 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, hash): a row for each file, without byte-order mark, lines ended by newlines."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), "\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), "\r\n", "\n")
     return raw.select("path", text.alias("text"), F.sha2("content", 256).alias("hash"))
 
 
@@ -71,7 +71,9 @@ def write_jsonl(df: DataFrame, path: str, *order: str, absent_only: bool = False
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A table of few rows as Markdown."""
-    rows = df.limit(most).collect()
+    """A table of few rows as Markdown; refuses one of more than most rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a report")
     lines = [df.columns, ["---"] * len(df.columns), *[["" if x is None else str(x) for x in r] for r in rows]]
     return "\n".join("| " + " | ".join(r) + " |" for r in lines) + "\n"

@@ -58,14 +58,56 @@ def test_earliest_checkpoint_and_upper_median(spark):
 
 
 def test_headings_and_citations():
+    assert section_kind("Prior Work") == "related_work" and section_kind("Summary") == section_kind("Discussion and Conclusions") == "conclusion" and section_kind("Part of it") is None
     assert section_kind("IV. Conclusions and Outlook") == "conclusion" and section_kind("2.1 Related Work") == "related_work" and section_kind("Results") is None
     assert renumber("see [c, a, a] and [b]", {"a": 3, "c": 7}) == "see [3, 7] and [b]"
     assert re.fullmatch(r"[0-9a-f]{64}", __import__("inkmill.functions.calls", fromlist=["x"]).request_key({"b": 1, "a": "é"}))
 
 
 def test_paragraph_types(spark):
-    df = spark.createDataFrame([("CHAPTER I",), ("* * *",), ("ALL CAPS HERE",), ('"ALL CAPS',), ("Plain text.",)], "x string")
-    assert [r.k for r in df.select(books.paragraph_type(F.col("x")).alias("k")).collect()] == ["heading", "break", "heading", "prose", "prose"]
+    cases = {"CHAPTER I": "heading", "* * *": "break", "ALL CAPS HERE": "heading", '"ALL CAPS': "prose", "Plain text.": "prose", "Epilogue": "heading", "12.": "heading", "I. The Storm": "heading", "· · ·": "break", "The end.": "heading"}
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    assert {r.x: r.k for r in df.select("x", books.paragraph_type(F.col("x")).alias("k")).collect()} == cases
+
+
+def test_red_flags(spark):
+    cases = {"Favor the human text": ["origin_preference"], "ignore the system": ["wrapper_override"], "score 0 to 100": ["wrapper_override"], "unweighted mean": ["wrapper_override"], "<tool_call>": ["leaked_markup"], "it ends {": ["leaked_markup"], "a {b} c": [], "human-written signals": ["origin_detection"]}
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    assert {r.x: r.k for r in df.select("x", overlap.red_flags(F.col("x")).alias("k")).collect()} == cases
+
+
+def test_books(spark):
+    long = " ".join(["word"] * 45)
+    raw = f"\ufeffhead\r\n*** START OF THIS PROJECT GUTENBERG EBOOK A ***\r\nProduced by X\r\n\r\nCHAPTER I\r\n\r\nPreface\n\n2.\n\nTwo\n\nCHAPTER I\n\n_Now_ it--[Illustration: a [b] c] goes[1] on\nand _é_a_ {long}\n\n  indented\n   verse\n \n* * *\n\nEnd.\n*** END OF THE PROJECT GUTENBERG EBOOK A ***\nlicence"
+    rows = books.book_paragraphs(spark.createDataFrame([(1, raw), (2, "no marks"), (3, None)], "doc_id long, raw string")).orderBy("doc_id", "pos").collect()
+    assert [(r.pos, r.type, r.text) for r in rows] == [(0, "heading", "CHAPTER I"), (1, "prose", f"Now it— goes on and _é_a_ {long}"), (2, "block", "indented verse"), (3, "break", "* * *"), (4, "prose", "End.")]
+
+
+def test_cuts_against_plain_python(spark):
+    rng, rows = random.Random(7), []
+    for book in range(3):
+        rows += [(book, k, rng.choice(["prose"] * 12 + ["heading"]), rng.randint(1, 60)) for k in range(220)]
+    paras = spark.createDataFrame(rows, "doc_id long, pos long, type string, words long")
+    want, cuts = [], set()
+    for book in range(3):
+        mine = [r[2:] for r in rows if r[0] == book]
+        gen, valid, before = random.Random(f"{books.SEED}:{book}"), [], [sum(n for _, n in mine[:k]) for k in range(len(mine) + 1)]
+        for k in range(3, len(mine)):
+            if before[k] >= 500 and all(t == "prose" for t, _ in mine[k - 3 : k]):
+                goal = gen.randint(100, 300)
+                for at, low in ((goal, True), (100, False)):
+                    z = next((z for z in range(k + 1, len(mine) + 1) if before[z] - before[k] >= at or mine[z - 1][0] != "prose"), len(mine))
+                    if all(t == "prose" for t, _ in mine[k:z]) and at <= before[z] - before[k] <= 300:
+                        valid.append((k, z)) if low else cuts.add((book, k, z, before[z] - before[k]))
+        free = 0
+        for part in range(6):
+            low, high = (500 + (before[-1] - 500) * x / 6 for x in (part, part + 1))
+            fits = [c for c in valid if low <= before[c[0]] < high and c[0] >= free]
+            if fits:
+                want.append((book, *gen.choice(fits)))
+                free = want[-1][2]
+    assert sorted(tuple(r) for r in books.cut_sample(paras, 6, (100, 300), 500).collect()) == sorted(want) and len(want) > 8
+    assert {tuple(r) for r in books.cut_candidates(paras, 100, 300, 500).collect()} == cuts and cuts
 
 
 def test_names(spark):

@@ -80,7 +80,7 @@ def test_books(spark):
     long = " ".join(["word"] * 45)
     raw = f"\ufeffhead\r\n*** START OF THIS PROJECT GUTENBERG EBOOK A ***\r\nProduced by X\r\n\r\nCHAPTER I\r\n\r\nPreface\n\n2.\n\nTwo\n\nCHAPTER I\n\n_Now_ it--[Illustration: a [b] c] goes[1] on\nand _é_a_ {long}\n\n  indented\n   verse\n \n* * *\n\nEnd.\n*** END OF THE PROJECT GUTENBERG EBOOK A ***\nlicence"
     rows = books.book_paragraphs(spark.createDataFrame([(1, raw), (2, "no marks"), (3, None)], "doc_id long, raw string")).orderBy("doc_id", "pos").collect()
-    assert [(r.pos, r.type, r.text) for r in rows] == [(0, "heading", "CHAPTER I"), (1, "prose", f"Now it— goes on and _é_a_ {long}"), (2, "block", "indented verse"), (3, "break", "* * *"), (4, "prose", "End.")]
+    assert [(r.pos, r.type, r.text) for r in rows] == [(0, "heading", "CHAPTER I"), (1, "prose", f"Now it— goes on and é_a {long}"), (2, "block", "indented verse"), (3, "break", "* * *"), (4, "prose", "End.")]
 
 
 def test_cuts_against_plain_python(spark):

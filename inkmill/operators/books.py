@@ -149,3 +149,45 @@ def round_robin(books: DataFrame, n: int) -> DataFrame:
     first = Window.partitionBy("split", "author")
     ranked = books.withColumn("rank", F.row_number().over(by_author)).withColumn("first_pos", F.min("pos").over(first))
     return ranked.withColumn("turn", F.row_number().over(Window.partitionBy("split").orderBy("rank", "first_pos"))).where(F.col("turn") <= n).select("split", "turn", "author", "book_id")
+
+
+def with_records(novels: DataFrame, records: DataFrame) -> DataFrame:
+    """novels(book_id) with their downloads and rights; 0 and '' for those without a record."""
+    both = novels.join(records.select("book_id", "downloads", "rights"), "book_id", "left")
+    return both.withColumns({"downloads": F.coalesce("downloads", F.lit(0)), "rights": F.coalesce("rights", F.lit(""))})
+
+
+def first_cuts(cuts: DataFrame, n: int = 4) -> DataFrame:
+    """The first n cuts of each book, numbered."""
+    w = Window.partitionBy("doc_id").orderBy("start")
+    return cuts.withColumn("index", F.row_number().over(w) - 1).where(F.col("index") < n)
+
+
+def quota_walk(books: DataFrame, needs: dict[str, int], per_author: int = 3, seed: int = SEED, most: int = 100_000) -> DataFrame:
+    """(book_id, author, split): authors in a seeded order go whole to the first split that needs books, each with per_author at most.
+
+    books(author, author_pos, book_id, pos, fit): what fit says is worked out before, so that the walk, in one task,
+    reads a catalog's ids only; more than most of them, or too few that fit, is an error. The generator orders authors, then
+    each one's books as it comes to them.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"a catalog of {len(pdf)} books; {most} at most")
+        rng, left, out = random.Random(seed), dict(needs), []
+        catalog = {a: list(zip(g.book_id, g.fit)) for a, g in pdf.sort_values(["author_pos", "pos"]).groupby("author", sort=False)}
+        authors = list(catalog)
+        rng.shuffle(authors)
+        for author in authors:
+            open_ = [s for s, n in left.items() if n > 0]
+            if not open_:
+                break
+            rng.shuffle(catalog[author])
+            fit = [b for b, ok in catalog[author] if ok][: min(per_author, left[open_[0]])]
+            left[open_[0]] -= len(fit)
+            out += [(b, author, open_[0]) for b in fit]
+        if any(n > 0 for n in left.values()):
+            raise ValueError(f"not enough books that fit; still needed: {left}")
+        return pd.DataFrame(out, columns=["book_id", "author", "split"])
+
+    return books.select("author", "author_pos", "book_id", "pos", "fit", F.lit(0).alias("whole")).groupBy("whole").applyInPandas(walk, "book_id string, author string, split string")

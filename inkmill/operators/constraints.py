@@ -82,3 +82,11 @@ def table_digest(df: DataFrame, *names: str) -> DataFrame:
     h = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
     return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(" ", *parts), 256).alias("digest"))
+
+
+def listed_otherwise(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """(key, split_differs, provenance_differs): rows whose split or provenance (any struct) differs from the one listed under the key; both for one that isn't listed."""
+    told = listed.select(key, F.col("split").alias("l_split"), F.to_json("provenance", {"ignoreNullFields": "false"}).alias("l_provenance"))
+    both = rows.join(told, key, "left")
+    split, provenance = ~F.col("split").eqNullSafe(F.col("l_split")), ~F.to_json("provenance", {"ignoreNullFields": "false"}).eqNullSafe(F.col("l_provenance"))
+    return both.select(key, split.alias("split_differs"), provenance.alias("provenance_differs")).where(F.col("split_differs") | F.col("provenance_differs"))

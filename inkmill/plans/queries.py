@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkmill.functions import calls, html_text, text
-from inkmill.operators import books, constraints, overlap, scores
+from inkmill.functions import calls, html_text, papers, text
+from inkmill.operators import books, constraints, lifecycle, overlap, reports, scores
 
 QUERIES, ORACLE_SQL = {}, {}
 TOK = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')"
@@ -242,8 +242,6 @@ def q_round_robin_books(s, d):
 
 @query("q_even_deal_splits", "SELECT doc_id, (rn * 5) // n AS deal FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)")
 def q_even_deal_splits(s, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source")
     ranked = _t(s, d, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("rn"), F.count("*").over(w).alias("n"))
     return ranked.select("doc_id", F.floor(F.col("rn") * 5 / F.col("n")).cast("long").alias("deal"))
@@ -409,8 +407,6 @@ def q_cost_totals(s, d):
 
 @query("q_pilot_relabel", "WITH f AS (SELECT source, min(doc_id) AS p FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1 ORDER BY p LIMIT 2), r AS (SELECT source, row_number() OVER (ORDER BY source) AS k FROM f) SELECT doc_id, CASE WHEN k = 1 THEN 'train' ELSE 'validation' END AS split FROM documents JOIN r USING (source) WHERE doc_id % 3 <> 0")
 def q_pilot_relabel(s, d):
-    from pyspark.sql import Window
-
     train = _t(s, d, "documents").where(_split() == "train").select("doc_id", "source")
     few = train.groupBy("source").agg(F.min("doc_id").alias("p")).orderBy("p").limit(2)  # two rows
     ranked = few.withColumn("k", F.row_number().over(Window.orderBy("source")))
@@ -522,3 +518,173 @@ def q_feedback(s, d):
     few = scores.failures(rows)  # FAILURES rows
     texts = _t(s, d, "documents").select(F.col("doc_id").alias("example_id"), F.sha2("text", 256).alias("reference_hash"))
     return texts.join(F.broadcast(few), "example_id").select("example_id", "kind", "gap", "reference_hash")
+
+
+def _articles(s, d):
+    """Documents set as LaTeXML pages, of which some break a rule: half the words are the abstract, half the introduction."""
+    w = text.ws_words(F.col("text"))
+    half = F.floor(F.size(w) / 2).cast("int")
+    safe = lambda x: F.replace(F.replace(F.array_join(x, " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = lambda k: f'<li class="ltx_bibitem" id="b{k}"><span class="ltx_tag ltx_tag_bibitem">A</span> Title</li>'
+    html = F.concat(
+        F.lit('<html><nav>menu</nav><article class="ltx_document"><div class="ltx_abstract" id="abs"><h6>Abstract</h6><p>'), safe(F.slice(w, F.lit(1), half)),
+        F.lit('</p></div><section class="ltx_section" id="S1"><h2>1 Introduction</h2><p>'), safe(F.slice(w, half + 1, F.size(w))),
+        F.lit(' <cite class="ltx_cite">(<a href="#b2">x</a>; <a href="#b1">y</a>)</cite></p><figure class="ltx_figure">drawn</figure></section>'),
+        F.when(F.col("doc_id") % 13 == 0, '<section class="ltx_section"><h2>2. INTRODUCTION</h2></section>').otherwise(""),
+        F.lit("<ul>" + "".join(map(item, range(1, 10)))), F.when(F.col("doc_id") % 7 == 0, "").otherwise(item(10)), F.lit("</ul>"),
+        F.when(F.col("doc_id") % 11 == 0, '<span class="ltx_ERROR">lost</span>').otherwise(""), F.lit("</article></html>"),
+    )
+    return papers.read_papers(_t(s, d, "documents").withColumn("html", html), "doc_id", "html")
+
+
+_CLEAN = r"trim(regexp_replace(nfc_normalize({}), '\s+', ' ', 'g'))"
+_BIB = "'[1] Title [2] Title [3] Title [4] Title [5] Title [6] Title [7] Title [8] Title [9] Title [10] Title'"
+_ARTICLES = f"""w AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(t[1:len(t) // 2], ' ') AS a, array_to_string(t[len(t) // 2 + 1:], ' ') AS b FROM (SELECT doc_id, text, {WSW} AS t FROM documents)),
+sec AS (SELECT doc_id, 1 AS pos, 'abstract' AS kind, {_CLEAN.format('a')} AS reference, {_CLEAN.format(f"'[Missing abstract section] 1 Introduction ' || b || ' [1, 2] drawn ' || {_BIB}")} AS context FROM w
+UNION ALL SELECT doc_id, 2, 'introduction', {_CLEAN.format("b || ' [1, 2]'")}, {_CLEAN.format(f"'Abstract ' || a || ' [Missing introduction section] ' || {_BIB}")} FROM w),
+ruled AS (SELECT *, CASE WHEN reference = '' THEN 0 ELSE len(string_split(reference, ' ')) END AS words FROM sec),
+why AS (SELECT *, CASE WHEN regexp_matches(reference, '(?i)\\backnowledg(?:e)?ments?\\b') THEN kind || ' contains acknowledgements the markup does not set apart' WHEN words < 60 THEN kind || ' has ' || words || ' words; at least 60 required' WHEN contains(context, reference) THEN kind || ' text also appears elsewhere in the paper, so removing it does not hide it' END AS reason FROM ruled),
+paper AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'Found a second top-level introduction section, headed ''introduction''' WHEN doc_id % 7 = 0 THEN 'Bibliography has 9 entries; at least 10 required'
+WHEN doc_id % 11 = 0 OR contains(text, chr(65533)) THEN 'Page has ' || (doc_id % 11 = 0)::INT || ' LaTeXML error node(s) and ' || (len(text) - len(replace(text, chr(65533), ''))) || ' U+FFFD character(s)' ELSE r END AS reason FROM w LEFT JOIN (SELECT doc_id, arg_min(reason, pos) AS r FROM why WHERE reason IS NOT NULL GROUP BY 1) USING (doc_id))"""
+
+
+@query("q_paper_rejects", f"WITH {_ARTICLES} SELECT doc_id::VARCHAR AS paper_id, reason FROM paper WHERE reason IS NOT NULL")
+def q_paper_rejects(s, d):
+    return papers.rejected(_articles(s, d))
+
+
+@query("q_paper_examples", f"WITH {_ARTICLES} SELECT doc_id || '_' || kind AS example_id, doc_id::VARCHAR AS source_id, kind, sha256(context) AS context_hash, sha256(reference) AS reference_hash, words AS target_words, 10 AS bibliography_items FROM ruled JOIN paper USING (doc_id) WHERE reason IS NULL")
+def q_paper_examples(s, d):
+    return papers.examples(_articles(s, d)).drop("context", "reference")
+
+
+_REPLIES = """rp AS (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'r' || user_id END AS response_id, CASE event_type WHEN 'purchase' THEN '{"id":"g' || user_id || '","choices":[{"message":{"content":"x"},"finish_reason":"stop"}]}'
+WHEN 'signup' THEN '{"id":"","choices":[{"message":{"content":null},"finish_reason":"length"}]}' WHEN 'view' THEN '{"choices":[]}' WHEN 'click' THEN '{"choices":[{"message":"x"}],"id":"c"}' ELSE '{"error":{"code":500},"choices":[{"message":{"content":"x"}}]}' END AS reply FROM events)"""
+
+
+def _replies(s, d):
+    """Events as sends with replies of five shapes."""
+    e, user = F.col("event_type"), F.col("user_id").cast("string")
+    reply = (
+        F.when(e == "purchase", F.concat(F.lit('{"id":"g'), user, F.lit('","choices":[{"message":{"content":"x"},"finish_reason":"stop"}]}')))
+        .when(e == "signup", '{"id":"","choices":[{"message":{"content":null},"finish_reason":"length"}]}')
+        .when(e == "view", '{"choices":[]}')
+        .when(e == "click", '{"choices":[{"message":"x"}],"id":"c"}')
+        .otherwise('{"error":{"code":500},"choices":[{"message":{"content":"x"}}]}')
+    )
+    sent = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat(F.lit("r"), user))
+    return _t(s, d, "events").select("event_id", F.when(e == "error", 500).otherwise(200).alias("status"), sent.alias("response_id"), reply.alias("reply"))
+
+
+@query("q_reply_checks", f"""WITH {_REPLIES} SELECT event_id, json_type(reply, '$.choices[0].message') IS NOT DISTINCT FROM 'OBJECT' AND coalesce(json_type(reply, '$.choices[0].message.content'), 'NULL') IN ('VARCHAR', 'NULL') AS valid,
+status = 200 AND valid AND json_extract(reply, '$.error') IS NULL AS ok, coalesce(nullif(response_id, ''), nullif(json_extract_string(reply, '$.id'), '')) AS generation_id, list_sort(json_keys(reply)) = ['choices', 'id'] AS closed, coalesce(json_extract_string(reply, '$.choices[0].finish_reason') = 'stop', false) AS complete FROM rp""")
+def q_reply_checks(s, d):
+    r = F.col("reply")
+    return _replies(s, d).select("event_id", lifecycle.valid_choice(r).alias("valid"), lifecycle.succeeded(F.col("status"), r).alias("ok"), lifecycle.generation_id(F.col("response_id"), r).alias("generation_id"), lifecycle.closed(r, "id", "choices").alias("closed"), lifecycle.complete(r).alias("complete"))
+
+
+def _price(i: str) -> dict:
+    """A stub's answer: no cost for some ids."""
+    n = int(i[1:])
+    return {"id": i, "total_cost": n / 8 if n % 10 else None}
+
+
+@query("q_cost_lookup", "SELECT DISTINCT 'r' || user_id AS generation_id, CASE WHEN user_id % 10 <> 0 THEN user_id / 8.0::DOUBLE END AS cost, CASE WHEN user_id % 10 = 0 THEN 'ValueError: invalid id or cost' END AS error FROM events WHERE event_id % 3 = 1")
+def q_cost_lookup(s, d):
+    return lifecycle.costs(_replies(s, d).select(F.nullif("response_id", F.lit("")).alias("generation_id")), _price)
+
+
+@query("q_request_payload", """SELECT doc_id, sha256('{"max_tokens":64,"messages":[{"content":"Write.","role":"system"},{"content":"{\\"kind\\":\\"' || lang || '\\",\\"target_words\\":' || n_chars || '}","role":"user"}],"model":"m","plugins":[],"provider":{"allow_fallbacks":false,"only":["p"],"order":["p"],"require_parameters":true},"stream":false,"temperature":0.5,"transforms":[]}') AS request_key FROM documents""")
+def q_request_payload(s, d):
+    data = F.to_json(F.struct(F.col("lang").alias("kind"), F.col("n_chars").alias("target_words")))
+    cfg = {"model": "m", "provider": "p", "temperature": 0.5, "max_tokens": 64}
+    return _t(s, d, "documents").select("doc_id", F.sha2(lifecycle.payload(cfg, F.lit("Write."), data), 256).alias("request_key"))
+
+
+@query("q_blinded", "SELECT sha256(text) AS context, lang AS kind, n_chars AS target_words FROM documents")
+def q_blinded(s, d):
+    return lifecycle.blinded(_t(s, d, "documents").select(F.sha2("text", 256).alias("context"), F.col("lang").alias("kind"), F.col("n_chars").alias("target_words"), "source", "doc_id"))
+
+
+@query("q_graded", "SELECT doc_id AS example_id, source AS rubric, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 11 END AS human, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 7 END AS model FROM documents")
+def q_graded(s, d):
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("example_id"), F.col("source").alias("rubric"))
+    human = docs.where("example_id % 3 <> 0").select("example_id", F.lit("human").alias("origin"), (F.col("example_id") % 11).alias("total"))
+    model = docs.where("example_id % 4 <> 0").select("example_id", F.lit("model").alias("origin"), (F.col("example_id") % 7).alias("total"))
+    return lifecycle.graded(docs, human.unionByName(model), ["example_id"])
+
+
+def _sections(s, d):
+    kind = F.element_at(F.array(*map(F.lit, reports.KIND_ORDER)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("example_id"), F.col("source").alias("paper_id"), kind.alias("kind"), _split().alias("split"), "doc_id")
+
+
+_SECTIONS = "sec AS (SELECT doc_id::VARCHAR AS example_id, source AS paper_id, ['abstract', 'introduction', 'related_work', 'conclusion'][doc_id % 4 + 1] AS kind, doc_id % 4 AS place, CASE WHEN doc_id % 3 = 0 THEN 'validation' ELSE 'train' END AS split, doc_id FROM documents)"
+
+
+@query("q_section_list", f"WITH {_SECTIONS} SELECT split, paper_id, list(kind ORDER BY place) AS kinds FROM sec GROUP BY 1, 2")
+def q_section_list(s, d):
+    return reports.section_list(_sections(s, d))
+
+
+@query("q_matching_sections", f"WITH {_SECTIONS}, ti AS (SELECT source AS paper_id, arg_min(lang, doc_id) AS title FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1) SELECT example_id, coalesce(title, paper_id) AS title FROM sec LEFT JOIN ti USING (paper_id) WHERE split = 'train' AND kind = 'abstract' AND contains(lower(example_id || ' ' || coalesce(title, paper_id)), '2')")
+def q_matching_sections(s, d):
+    known = _t(s, d, "documents").where("doc_id % 5 <> 0").select(F.col("source").alias("paper_id"), F.col("lang").alias("title"), F.col("doc_id").alias("pos"))
+    return reports.matching(reports.titled(_sections(s, d), known), "train", "abstract", "2").select("example_id", "title")
+
+
+@query("q_split_rows", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def q_split_rows(s, d):
+    return reports.of_splits(_sections(s, d), "train").select("doc_id")
+
+
+@query("q_split_counts", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'validation' ELSE 'train' END AS split, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def q_split_counts(s, d):
+    return _sections(s, d).groupBy("split", F.col("paper_id").alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("q_earlier_drafts", "SELECT conv_id, list(turn ORDER BY turn)[1:count(*) - 1] AS earlier, list(role ORDER BY turn) AS reasons FROM conversations GROUP BY 1")
+def q_earlier_drafts(s, d):
+    per = _t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("a"))
+    return per.select("conv_id", reports.earlier(F.transform("a", lambda x: x["turn"])).alias("earlier"), reports.reasons(F.transform("a", lambda x: F.array(x["role"]))).alias("reasons"))
+
+
+@query("q_display", "SELECT doc_id, 'main/' || (doc_id % 5) || '/' || lang || '/' || doc_id AS label, CASE WHEN doc_id % 10 = 0 THEN '–' WHEN doc_id % 7 > 3 THEN '+' || printf('%.2f', (doc_id % 7 - 3) / 4.0) ELSE printf('%.2f', (doc_id % 7 - 3) / 4.0) END AS gap, CASE WHEN doc_id < 10 THEN '0' ELSE array_to_string(string_split(doc_id::VARCHAR[1:-2], ''), '/') END AS path FROM documents".replace("doc_id::VARCHAR[1:-2]", "left(doc_id::VARCHAR, -1)"))
+def q_display(s, d):
+    i = F.col("doc_id")
+    gap = F.when(i % 10 != 0, (i % 7 - 3) / F.lit(4.0))
+    return _t(s, d, "documents").select("doc_id", reports.label(i % 5, F.col("lang"), i).alias("label"), reports.signed(gap).alias("gap"), reports.digits_path(i.cast("string")).alias("path"))
+
+
+@query("q_rubric_sizes", f"WITH {_CRIT}, p AS (SELECT checkpoint, rubric, count(*) AS n FROM crit GROUP BY 1, 2) SELECT checkpoint, count(*) AS rubrics, round(avg(n), 6) AS criteria FROM p GROUP BY 1")
+def q_rubric_sizes(s, d):
+    return reports.rubric_sizes(_criteria(s, d))
+
+
+@query("q_catalog_records", "SELECT doc_id AS book_id, CASE WHEN doc_id % 4 <> 0 THEN n_chars ELSE 0 END AS downloads, CASE WHEN doc_id % 4 <> 0 THEN 'Public domain in the USA.' ELSE '' END AS rights FROM documents")
+def q_catalog_records(s, d):
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("book_id"), "n_chars")
+    records = docs.where("book_id % 4 <> 0").select("book_id", F.col("n_chars").alias("downloads"), F.lit("Public domain in the USA.").alias("rights"))
+    return books.with_records(docs.select("book_id"), records)
+
+
+@query("q_first_cuts", f"WITH {_CUTS} SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS index FROM cuts QUALIFY index < 4")
+def q_first_cuts(s, d):
+    return books.first_cuts(books.cut_candidates(_paras(s, d).drop("text"))).select("doc_id", "start", F.col("index").cast("long").alias("index"))
+
+
+@query("q_quota_books")
+def q_quota_books(s, d):
+    """Sources as authors, long documents as the books that fit."""
+    w = F.min("doc_id").over(Window.partitionBy("source"))
+    b = _t(s, d, "documents").select(F.col("source").alias("author"), w.alias("author_pos"), F.col("doc_id").cast("string").alias("book_id"), F.col("doc_id").alias("pos"), (F.col("n_chars") > 300).alias("fit"))
+    return books.quota_walk(b, {"train": 12, "validation": 6, "confirmation": 4}, most=1_000_000)
+
+
+@query("q_split_mismatch", "SELECT doc_id, doc_id % 6 = 0 AS split_differs, doc_id % 10 = 0 AS provenance_differs FROM documents WHERE doc_id % 6 = 0 OR doc_id % 10 = 0")
+def q_split_mismatch(s, d):
+    """Examples whose split or provenance is not what the list of sources says."""
+    docs = _t(s, d, "documents")
+    rows = docs.select("doc_id", _split().alias("split"), F.struct("source", "lang").alias("provenance"))
+    listed = docs.select("doc_id", F.when(F.col("doc_id") % 6 == 0, "train").otherwise(_split()).alias("split"), F.struct("source", F.when(F.col("doc_id") % 10 == 0, F.concat("lang", F.lit("?"))).otherwise(F.col("lang")).alias("lang")).alias("provenance"))
+    return constraints.listed_otherwise(rows, listed, "doc_id")

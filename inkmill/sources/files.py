@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +77,27 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"more than {most} rows for a report")
     lines = [df.columns, ["---"] * len(df.columns), *[["" if x is None else str(x) for x in r] for r in rows]]
     return "\n".join("| " + " | ".join(r) + " |" for r in lines) + "\n"
+
+
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One status or manifest record as canonical JSON; refuses to overwrite."""
+    from inkmill.functions.text import canonical
+
+    spark.createDataFrame([(canonical(record),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; if there is none that was written whole, what build gives is written there first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def aliased(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under their present names: {old: present}; where a row has both, the old one's value counts if it isn't null."""
+    for old, present in names.items():
+        if old in df.columns:
+            value = F.coalesce(old, present) if present in df.columns else F.col(old)
+            df = df.withColumn(present, value).drop(old)
+    return df

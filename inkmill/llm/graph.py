@@ -13,9 +13,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours, then the label of that label. What a round leaves
     is a table in the shared folder, so plans stay short and a lost executor costs one round's tasks.
-    Only one number a round reaches the driver. nodes is not read: a node without an edge has no row.
+    Only one number a round reaches the driver. Links may repeat and point either way: least labels don't change by it. nodes is not read: a node without an edge has no row.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("seen"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import decontam, html_main, license, lm, mixing, quality, simhash, suffix, token_counts, warc
+from inkmill.llm import decontam, html_main, license, lm, merkle, mixing, quality, simhash, suffix, token_counts, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_benchmark_decontamination": decontam.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }

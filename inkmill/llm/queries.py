@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import decontam, html_main, license, lm, merkle, mixing, quality, simhash, suffix, token_counts, warc
+from inkmill.llm import credentials, decontam, html_main, lexical, license, lm, merkle, mixing, quality, simhash, suffix, token_counts, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_secret_scans": credentials.op13_secret_scans,
 }
 
 ORACLE_SQL = {
@@ -26,4 +28,6 @@ ORACLE_SQL = {
     "op9_warc": warc.ORACLE,
     "op10_quality_rules": quality.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_secret_scans": credentials.ORACLE,
 }

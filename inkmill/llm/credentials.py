@@ -35,10 +35,10 @@ HOT = 1000
 _STEPS = [1 << k for k in range(31)]
 
 
-def scanned(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """The running results of op over an array: each step takes in those a power of two before."""
-    steps = F.filter(F.array(*map(F.lit, _STEPS)), lambda s: s < F.size(values))
-    return F.aggregate(steps, values, lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, op(F.get(a, i - s), x)).otherwise(x)))
+def scanned(name: str, op: Callable[[Column, Column], Column]) -> Column:
+    """The running results of op over the array in a column: each step takes in those a power of two before."""
+    steps = F.filter(F.array(*map(F.lit, _STEPS)), lambda s: s < F.size(name))
+    return F.aggregate(steps, F.col(name), lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, op(F.get(a, i - s), x)).otherwise(x)))
 
 
 def _different(value: Column) -> Column:
@@ -54,19 +54,22 @@ def _live(value: Column) -> Column:
 
 
 def _matches(df: DataFrame, name: str, pattern: str, group: int, keep: Callable[[Column], Column], kind: int) -> DataFrame:
-    """df(t) with name: the matches of pattern in t as (start, kind, end, hash, live), those that keep lets through. kind sorts."""
+    """df(t) with name: the matches of pattern in t as (start, kind, end, hash, live), those that keep lets through. kind sorts.
+
+    What lambdas use stands in their elements or in columns, so nothing is worked out again for each element.
+    """
     none = F.array().cast("array<string>")
-    some = F.rlike("t", F.lit(pattern))
-    df = df.withColumn("_m", F.when(some, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none))
-    has = F.size("_m") > 0
-    df = df.withColumn("_v", F.when(has, F.regexp_extract_all("t", F.lit(pattern), F.lit(group))).otherwise(none) if group else F.col("_m"))
-    df = df.withColumn("_p", F.when(has & F.exists("_v", keep), F.split("t", pattern, -1)))
-    between = F.transform("_m", lambda m, i: F.length(F.get("_p", i)) + F.coalesce(F.length(F.get("_m", i - 1)), F.lit(0)))
-    df = df.withColumn("_at", F.when(F.col("_p").isNotNull(), scanned(between, lambda a, b: a + b)))
-    spans = F.transform("_m", lambda m, i: F.struct(F.get("_at", i).alias("start"), F.lit(kind).alias("kind"), (F.get("_at", i) + F.length(m)).alias("end"), F.get("_v", i).alias("value")))
-    spans = F.transform(F.filter(spans, lambda s: keep(s["value"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _hash(s["value"]).alias("hash"), _live(s["value"]).alias("live")))
+    df = df.withColumn("_m", F.when(F.rlike("t", F.lit(pattern)), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn("_v", F.when(F.size("_m") > 0, F.regexp_extract_all("t", F.lit(pattern), F.lit(group))).otherwise(none) if group else F.col("_m"))
+    df = df.withColumn("_p", F.when(F.exists("_v", keep), F.split("t", pattern, -1)))
+    # from the end of a match, or the start of the text, to the next match, and the match before it
+    gaps = F.zip_with(F.transform("_p", F.length), F.concat(F.array(F.lit(0)), F.transform("_m", F.length)), lambda p, m: p + m)
+    df = df.withColumn("_gap", F.when(F.col("_p").isNotNull(), gaps))
+    df = df.withColumn("_at", scanned("_gap", lambda a, b: a + b))
+    each = F.filter(F.arrays_zip("_at", "_m", "_v"), lambda x: x["_m"].isNotNull() & keep(x["_v"]))
+    spans = F.transform(each, lambda x: F.struct(x["_at"].alias("start"), F.lit(kind).alias("kind"), (x["_at"] + F.length(x["_m"])).alias("end"), _hash(x["_v"]).alias("hash"), _live(x["_v"]).alias("live")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string,live:boolean>>")
-    return df.withColumn(name, F.when(F.col("_p").isNotNull(), spans).otherwise(empty)).drop("_m", "_v", "_p", "_at")
+    return df.withColumn(name, F.when(F.col("_p").isNotNull(), spans).otherwise(empty)).drop("_m", "_v", "_p", "_gap", "_at")
 
 
 def _at_least(n: int) -> Callable[[Column], Column]:
@@ -77,14 +80,15 @@ def _run(value: Column) -> Column:
     return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Z]")) & F.rlike(value, F.lit("[a-z]")) & (_different(value) >= DIFFERENT) & _live(value)
 
 
-def _apart(base: Column, runs: Column) -> Column:
-    """The spans of base, and those of runs that touch none of them, by start."""
-    both = F.array_sort(F.concat(base, runs))
+def _apart(df: DataFrame) -> DataFrame:
+    """df(base, runs) with c: the spans of base, and those of runs that touch none of them, by start."""
     is_run = lambda s: s["kind"] == len(KINDS)
-    ends = scanned(F.transform(both, lambda s: F.when(is_run(s), 0).otherwise(s["end"])), F.greatest)
-    later = F.reverse(scanned(F.reverse(F.transform(both, lambda s: F.when(is_run(s), (1 << 31) - 1).otherwise(s["start"]))), F.least))
-    z = F.transform(both, lambda s, i: F.when(~is_run(s) | ((F.get(ends, i) <= s["start"]) & (F.get(later, i) >= s["end"])), s))
-    return F.when(F.size(runs) > 0, F.filter(z, lambda s: s.isNotNull())).otherwise(F.array_sort(base))
+    df = df.withColumn("_c", F.array_sort(F.concat("base", "runs")))
+    df = df.withColumn("_e", F.transform("_c", lambda s: F.when(is_run(s), 0).otherwise(s["end"])))
+    df = df.withColumn("_s", F.reverse(F.transform("_c", lambda s: F.when(is_run(s), (1 << 31) - 1).otherwise(s["start"]))))
+    df = df.withColumn("_ends", scanned("_e", F.greatest)).withColumn("_later", scanned("_s", F.least)).withColumn("_later", F.reverse("_later"))
+    free = F.filter(F.arrays_zip("_c", "_ends", "_later"), lambda x: ~is_run(x["_c"]) | ((x["_ends"] <= x["_c"]["start"]) & (x["_later"] >= x["_c"]["end"])))
+    return df.withColumn("c", F.when(F.size("runs") > 0, F.transform(free, lambda x: x["_c"])).otherwise(F.col("_c"))).drop("_c", "_e", "_s", "_ends", "_later")
 
 
 def candidates(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
@@ -93,7 +97,8 @@ def candidates(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     for k, (name, (pattern, group, least)) in enumerate(KINDS.items()):
         df = _matches(df, name, pattern, group, _at_least(least), k)
     df = _matches(df, OWNED, RUN, 0, _run, len(KINDS))
-    return df.select("u", "doc_id", "owner", "repo", F.concat(*KINDS).alias("base"), F.col(OWNED).alias("runs")).select("u", "doc_id", "owner", "repo", _apart(F.col("base"), F.col("runs")).alias("c"))
+    df = df.select("u", "doc_id", "owner", "repo", F.concat(*KINDS).alias("base"), F.col(OWNED).alias("runs"))
+    return _apart(df).select("u", "doc_id", "owner", "repo", "c")
 
 
 def owners(spans: DataFrame) -> DataFrame:

@@ -7,27 +7,14 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import calls, html_text, papers, text
 from inkmill.operators import books, constraints, lifecycle, overlap, reports, scores
+from inkmill.plans.registry import query
+from inkmill.plans.registry import table as _t
 
-QUERIES, ORACLE_SQL = {}, {}
 TOK = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')"
 WSW = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 FWSW = WSW.replace("to_array(text", "to_array(replace(lower(text), 'ß', 'ss')")
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
-
-
 def _grams(table: str, key: str, n: int, tok: str = TOK) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(t[i:i+{n - 1}], ' ') AS g FROM (SELECT {key}, t, unnest(range(1, len(t) - {n - 2})) AS i FROM (SELECT {key}, {tok} AS t FROM {table}))"
 

@@ -5,7 +5,8 @@ Spark counts, per host, on how many different pages each hash occurs; subtrees o
 pages or more, and on more than SHARE of them, are the site's template and are deleted. Pages of the same
 main text are one page for these counts, so that copies of an article don't make it a template. Of what
 is left, parts that are not the article by their meaning (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) go by element, role, class and id.
+adverts, forms, scripts, styles, reader comments) go by element, role, and whole names in class and id. All
+other blocks are the text, wherever they stand on the page.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ BLOCKS = frozenset(
 #: Elements that are never part of an article's text.
 DROPPED = frozenset("aside button canvas datalist dialog embed footer form head header iframe input label math-ad menu nav noscript object script select style svg template textarea title video audio".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or id that tell the same.
+#: Words of a class or id that tell the same: alone, or in a name of such words and PLAIN ones.
 TOLD = frozenset(
     "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar "
     "navigation newsletter notice notices notification notifications outbrain pager pagination popup promo promos promotion promoted recommended related replies reply respond search share sharing sidebar sidebars "
     "signin signup skip social sponsor sponsored subscribe subscription taboola toolbar warning widget widgets".split()
 )
+PLAIN = frozenset("area bar block bottom box container content element first global inner item items last left link links list main outer page panel primary right section secondary site small sticky text top unit wrap wrapper zone".split())
 REMARKS = frozenset("comment comments reply replies respond disqus".split())
 ROOTS = frozenset(("html", "body", "main", "article"))
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -117,8 +119,14 @@ def _unwanted(n: Node) -> bool:
         return False
     if "hidden" in n.attrs or n.attrs.get("aria-hidden", "").lower() == "true" or "display:none" in n.attrs.get("style", "").replace(" ", "").lower():
         return n.tag not in ROOTS
-    told = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}").lower()))
-    return bool(told & (REMARKS if n.tag in ROOTS else TOLD)) and not (n.tag in ROOTS and n.tag != "article")
+    if n.tag in ROOTS and n.tag != "article":
+        return False
+    telling = REMARKS if n.tag == "article" else TOLD
+    for name in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if w}
+        if words & telling and words <= telling | PLAIN:
+            return True
+    return False
 
 
 def tree(html: str | None) -> Node:
@@ -165,7 +173,7 @@ def _under(root: Node) -> Iterator[Node]:
 
 
 def _containers(root: Node) -> list[Node]:
-    """The outermost articles, else main parts, else the page."""
+    """The outermost articles, else main parts, else the page: by these, pages are told to be copies of an article."""
     for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.attrs.get("role") == "main"):
         found, stack = [], [root]
         while stack:
@@ -183,8 +191,8 @@ def subtree_hashes(root: Node) -> set[int]:
     return {n.hash for n in _under(root) if n.hash and n.tag and n.tag not in ("html", "body")}
 
 
-def text_of(root: Node) -> str:
-    """The text of a pruned tree."""
+def text_of(tops: list[Node]) -> str:
+    """The text of parts of a pruned tree."""
     blocks: list[str] = []
     words: list[str] = []
 
@@ -193,7 +201,7 @@ def text_of(root: Node) -> str:
             blocks.append(line)
         words.clear()
 
-    for top in _containers(root):
+    for top in tops:
         stack: list = [top]
         while stack:
             n = stack.pop()
@@ -213,7 +221,7 @@ def text_of(root: Node) -> str:
 
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    return text_of(pruned(tree(html), template))
+    return text_of([pruned(tree(html), template)])
 
 
 def _signed(x: int) -> int:
@@ -227,7 +235,7 @@ def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = tree(html)
             hosts.append(host)
             own.append(sorted(map(_signed, subtree_hashes(root))))
-            same.append(_signed(xxhash.xxh64_intdigest(text_of(pruned(root)).encode("utf-8", "replace"))))
+            same.append(_signed(xxhash.xxh64_intdigest(text_of(_containers(pruned(root))).encode("utf-8", "replace"))))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["host", "same", "own"])
 
 

@@ -408,6 +408,42 @@ def test_main_text(spark):
     assert H.unescape("&amp;") == "&"
 
 
+def test_main_text_outside_of_articles():
+    """Nothing but the named parts goes, wherever it stands and whatever else a name says."""
+    m = html_main.main_text
+    assert m("<main><h1>Title</h1><p>Intro</p><article><p>Body</p></article></main>") == "Title\nIntro\nBody"
+    assert m('<div>The story</div><article class="teaser"><p>A teaser</p></article>') == "The story\nA teaser"
+    assert m('<article><section class="related-work">a</section><div class="search-methods">b</div><p class="notice-board">c</p><p id="adjacent">d</p></article>') == "a\nb\nc\nd"
+    for name in ("ad", "ads left", "site-header", "mainNav", "cookie-notice", "x comments-area", "related_items", "share-bar2", "footer"):
+        assert m(f'<p>own</p><div class="{name}">gone</div>') == "own"
+    assert m('<p>own</p><div id="cookie-notice">gone</div>') == "own"
+    assert m('<body class="nav-open comments"><p>own</p></body>') == "own"
+
+
+def test_templates_change_pages_without_articles(spark):
+    """What is left of each page is known from how it was made."""
+    rng, rows, want = random.Random(8), [], {}
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(6))
+    for host in range(3):
+        frame = ["<div><p>Slogan of {0}</p></div>", "<table><tr><td>Legal {0}</td></tr></table>", "<div><ul><li>one {0}</li><li>two</li></ul></div>"]
+        for k in range(9):
+            blocks, kept = [], []
+            for _ in range(rng.randint(1, 6)):
+                t = " ".join(word() for _ in range(rng.randint(1, 8)))
+                tag = rng.choice(["p", "div", "h2", "blockquote", "section"])
+                blocks.append(f"<{tag}>{t}</{tag}>")
+                kept.append(t)
+            for part in ('<nav>menu {1}</nav>', '<div class="side-bar sidebar">x {1}</div>', '<form>q {1}</form>', '<div id="comments"><p>reader {1}</p></div>', "<script>s {1}</script>", *frame):
+                at = rng.randint(0, len(blocks))
+                blocks.insert(at, part.replace("{0}", str(host)).replace("{1}", word()))
+            i = 100 * host + k
+            rows.append((i, f"https://h{host}.org/{k}", "<html><head><title>t</title></head><body>" + "".join(blocks) + "</body></html>"))
+            want[i] = "\n".join(kept)
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.main_texts(d).collect()} == want
+    assert all(html_main.main_text(h) != want[i] for i, _, h in rows)
+
+
 def test_templates_against_brute_force(spark):
     slogan = "<div><div><em>Site slogan</em></div>"
     rows = [(i, f"http://h.org/{i}", f"{slogan}<p>own {i}</p></div>") for i in range(12)]  # a template
@@ -424,7 +460,7 @@ def test_templates_against_brute_force(spark):
         pages = collections.defaultdict(dict)
         for host, t in zip(hosts, trees, strict=True):
             hashes = sorted(html_main._signed(x) for x in html_main.subtree_hashes(t))
-            same = html_main.text_of(html_main.pruned(t))
+            same = html_main.text_of(html_main._containers(html_main.pruned(t)))
             pages[host][same] = min(pages[host].get(same, hashes), hashes)
         out = []
         for (i, _, h), host in zip(rows, hosts, strict=True):

@@ -1,7 +1,9 @@
 """Quality rules with adaptive thresholds, DataFrame functions only.
 
-Per document: word, symbol, repeated-line and repeated-window counts. Four rates of the documents that pass
-the base rules go into quantile sketches, one per (language, source): counts of values in buckets whose
+Per document: word, symbol, repeated-line and repeated-window counts. Four rates are counts out of lengths,
+both with half a count more for either outcome: a text without a symbol has the rate that one of its length
+can't tell from zero, so a group's quantile says something even where most of its documents have none. The
+rates of the documents that pass the base rules go into quantile sketches, one per (language, source): counts of values in buckets whose
 bounds grow by GAMMA, so a quantile is known within that factor, whatever the order of the rows. Sketches
 add up: those of sources to their language's, those of languages to the corpus's. A fence is STRETCH times
 the group's quantile at the rate's LEVEL, drawn towards the language's, and that to the corpus's, by SHRINK
@@ -24,8 +26,6 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 50
 #: Per rate: what is counted, out of what, and the quantile, in thousandths, that the fence stands on. Symbols are rare in prose, so their level leaves room for much junk.
 RATES = {"symbol_rate": ("n_symbols", "word_chars", 800), "dup_line_rate": ("n_dup_lines", "n_lines", 990), "repeat_rate": ("n_repeat_words", "n_words", 990), "upper_rate": ("n_upper", "word_chars", 990)}
 STRETCH, SHRINK, ERRORS, GAMMA = 1.5, 100, 2.0, 1.02
-#: The bucket of zero, below that of any rate.
-ZERO = -100_000
 #: Groups up to which their fences are broadcast.
 MOST_BROADCAST = 100_000
 
@@ -71,7 +71,7 @@ def counted(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def _rate(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    return (F.col(part) + 0.5) / (F.col(whole) + 1)
 
 
 def rated(counts: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def rated(counts: DataFrame) -> DataFrame:
 
 def sketches(rates: DataFrame) -> DataFrame:
     """(lang, source, rate, bucket, n): the documents that pass the base rules, by bucket of each rate. Some thousand rows a group at most."""
-    bucket = lambda r: F.when(F.col(r) > 0, F.ceil(F.log(r) / F.log(F.lit(GAMMA)))).otherwise(ZERO).cast("int")
+    bucket = lambda r: F.ceil(F.log(r) / F.log(F.lit(GAMMA))).cast("int")
     each = F.array(*[F.struct(F.lit(r).alias("rate"), bucket(r).alias("bucket")) for r in RATES])
     return rates.where(~F.col("base_failed")).select("lang", "source", F.inline(each)).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
 
@@ -93,7 +93,7 @@ def quantiles(bins: DataFrame, *keys: str) -> DataFrame:
     ends = merged.withColumns({"docs": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("bucket"))})
     level = reduce(lambda c, r: c.when(F.col("rate") == r, RATES[r][2]), list(RATES)[1:], F.when(F.col("rate") == list(RATES)[0], RATES[list(RATES)[0]][2]))
     at = ends.where(1000 * F.col("upto") >= level * F.col("docs")).groupBy(*keys, "rate", "docs").agg(F.min("bucket").alias("bucket"))
-    return at.select(*keys, "rate", "docs", F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket"))).alias("q"))
+    return at.select(*keys, "rate", "docs", F.pow(F.lit(GAMMA), F.col("bucket")).alias("q"))
 
 
 def fences(rates: DataFrame) -> DataFrame:
@@ -138,13 +138,13 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rates = ", ".join(f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END AS {r}" for r, (a, b, _) in RATES.items())
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, CASE WHEN {r} > 0 THEN ceil(ln({r}) / ln({GAMMA}::DOUBLE))::INT ELSE {ZERO} END AS bucket FROM rated WHERE NOT base_failed" for r in RATES)
+    rates = ", ".join(f"({a} + 0.5::DOUBLE) / ({b} + 1) AS {r}" for r, (a, b, _) in RATES.items())
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, ceil(ln({r}) / ln({GAMMA}::DOUBLE))::INT AS bucket FROM rated WHERE NOT base_failed" for r in RATES)
     level = "CASE rate " + " ".join(f"WHEN '{r}' THEN {x[2]}" for r, x in RATES.items()) + " END"
 
     def quantile(keys: str) -> str:
         by = f"{keys}, rate" if keys else "rate"
-        return f"""SELECT {by}, docs, CASE WHEN min(bucket) = {ZERO} THEN 0.0 ELSE pow({GAMMA}::DOUBLE, min(bucket)) END AS q FROM (SELECT {by}, bucket, sum(count(*)) OVER (PARTITION BY {by}) AS docs,
+        return f"""SELECT {by}, docs, pow({GAMMA}::DOUBLE, min(bucket)) AS q FROM (SELECT {by}, bucket, sum(count(*)) OVER (PARTITION BY {by}) AS docs,
           sum(count(*)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM bins GROUP BY {by}, bucket) WHERE 1000 * upto >= {level} * docs GROUP BY {by}, docs"""
 
     over = " AND ".join(f"{a} - {ERRORS}::DOUBLE * sqrt({a}::DOUBLE) <= {r}_fence * {b} + 1e-9" for r, (a, b, _) in RATES.items())

@@ -210,6 +210,34 @@ def test_fences_are_those_of_exact_quantiles(spark):
         assert r["kept"] == ok
     assert len(found) == 400 and len(fences) > 15 and 0 < sum(r["kept"] for r in found) < len(passed)
     assert quality.keep_good(d).columns == d.columns and quality.keep_good(d).count() == sum(r["kept"] for r in found)
+    assert all(r[f"{name}_fence"] > 0 for r in found for name in quality.RATES)
+
+
+def test_each_rate_rejects_its_own_junk(spark):
+    """Junk of four kinds, each rejected by one fence; long texts with a few symbols, capitals and repeated lines stay."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: [word() for _ in range(n)]
+    lines = lambda w, k: "\n".join(" ".join(w[a : a + k]) for a in range(0, len(w), k))
+    rows = [(i, lines(prose(80 + i % 300), 20), rng.choice(["en", "fr"]), rng.choice(["a", "b"])) for i in range(800)]
+    few = prose(5000)
+    for k in range(5):
+        few[100 * k] += "&"
+        few[7 + 100 * k] = few[7 + 100 * k].upper()
+    rows.append((900, lines(few, 20) + "\nsame line\nother\nsame line", "en", "a"))
+    dup = [" ".join(prose(12)) for _ in range(8)]
+    junk = {
+        "symbol_rate": lines([w + "%#" for w in prose(100)], 20),
+        "dup_line_rate": "\n".join(x for w in prose(80) for x in (w, "first", "second")),
+        "repeat_rate": " ".join([*prose(70), *dup[0].split(), *prose(3), *dup[0].split(), *prose(3), *dup[0].split()]),
+        "upper_rate": lines([w.upper() if k % 2 else w for k, w in enumerate(prose(120))], 20),
+    }
+    rows += [(1000 + k, t, "en", "a") for k, t in enumerate(junk.values())]
+    found = {r.doc_id: r.asDict() for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    over = {i: [name for name, (part, whole, _) in quality.RATES.items() if r[part] - quality.ERRORS * r[part] ** 0.5 > r[f"{name}_fence"] * r[whole] + 1e-9] for i, r in found.items()}
+    assert [over[1000 + k] for k in range(4)] == [[name] for name in junk] and not any(found[1000 + k]["base_failed"] for k in range(4))
+    assert not any(found[1000 + k]["kept"] for k in range(4)) and all(found[i]["kept"] for i in [*range(800), 900])
+    assert len({r["symbol_rate_fence"] for r in found.values()}) == 4
 
 
 def test_mixing(spark, docs):

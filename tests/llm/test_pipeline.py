@@ -53,9 +53,8 @@ def good(rows):
         facts.append(f)
 
     def at_level(some, part, whole, level):
-        rates = sorted(facts[k][part] / facts[k][whole] if facts[k][whole] else 0.0 for k in some)
-        x = rates[max(0, -(-level * len(rates) // 1000) - 1)] if rates else 0.0
-        return quality.GAMMA ** math.ceil(math.log(x) / math.log(quality.GAMMA)) if x else 0.0
+        rates = sorted((facts[k][part] + 0.5) / (facts[k][whole] + 1) for k in some)
+        return quality.GAMMA ** math.ceil(math.log(rates[max(0, -(-level * len(rates) // 1000) - 1)]) / math.log(quality.GAMMA)) if rates else 0.0
 
     passed, out = [k for k, f in enumerate(facts) if f["ok"]], []
     for k in passed:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import fold, ngrams, word_tokens, ws_words
+from inkmill.sources.stages import stage
 
 PROBE_NGRAM, MOST_FRACTION, LEAST_RUN, COPY_SPAN, IDENTIFIER = 13, 0.05, 20, 12, 5
 #: The families of red flags, over folded text.
@@ -17,6 +22,8 @@ RED_FLAGS = {
 }
 #: Rows of the smaller side up to which it is broadcast.
 MOST_BROADCAST = 500_000
+#: Identifiers that tasks are told at a time.
+MOST_IDENTIFIERS = 100_000
 
 
 def _hint(df: DataFrame) -> DataFrame:
@@ -70,10 +77,40 @@ def copied_spans(proposals: DataFrame, sources: DataFrame, allowed: str = "") ->
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("i", "g")).alias("m")).select("doc_id", "item_id", F.col("m.i").cast("long").alias("first_pos"), F.col("m.g").alias("span"))
 
 
+def _identified(told):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ahocorasick.Automaton()
+        for x in told.value:
+            known.add_word(x, x)
+        known.make_automaton()
+        for b in batches:
+            at, found = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                mine = sorted({x for _, x in known.iter(t or "")})
+                at += [i] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "identifier"])
+
+    return f
+
+
 def identifier_leaks(proposals: DataFrame, identifiers: DataFrame, least: int = IDENTIFIER) -> DataFrame:
-    """(doc_id, identifier) where a folded identifier of enough characters is part of the folded text. identifiers are few: distinct, checked, broadcast."""
-    ids = identifiers.select(fold(F.col("identifier")).alias("identifier")).where(F.length("identifier") >= least).distinct()
-    return proposals.join(_hint(ids), F.contains(fold(F.col("text")), F.col("identifier"))).select("doc_id", "identifier")
+    """(doc_id, identifier) where a folded identifier of enough characters is part of the folded text.
+
+    Texts are read once for each block of identifiers, by an automaton of all of them, so the work is that of
+    reading and not of texts times identifiers; null texts have none.
+    """
+    spark = proposals.sparkSession
+    ids = stage(identifiers.select(fold(F.col("identifier")).alias("identifier")).where(F.length("identifier") >= least).distinct(), "identifiers")
+    blocks = -(-ids.count() // MOST_IDENTIFIERS)
+    kind = proposals.schema["doc_id"].dataType.simpleString()
+    found = spark.createDataFrame([], f"doc_id {kind}, identifier string")
+    texts = proposals.select("doc_id", fold(F.col("text")).alias("text"))
+    for k in range(blocks):
+        own = ids.where(F.pmod(F.xxhash64("identifier"), F.lit(blocks)) == k).collect()
+        told = spark.sparkContext.broadcast([r.identifier for r in own])
+        found = found.union(texts.mapInArrow(_identified(told), f"doc_id {kind}, identifier string"))
+    return found
 
 
 def red_flags(text: Column) -> Column:

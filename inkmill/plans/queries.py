@@ -498,12 +498,15 @@ def q_missing_generations(s, d):
     return scores.missing_generations(_t(s, d, "events").select(F.col("event_id").alias("path"), status.alias("status"), F.when(kind.isin("purchase", "signup"), F.col("user_id")).alias("generation_id")))
 
 
-@query("q_feedback", f"WITH {_ROWS} SELECT r.example_id, r.kind, r.gap, sha256(d.text) AS reference_hash FROM rows_ r JOIN documents d ON d.doc_id = r.example_id WHERE r.split = 'train' AND r.checkpoint = 0 AND r.gap <= 0 ORDER BY r.gap, r.example_id LIMIT 24")
+@query("q_feedback", """WITH g AS (SELECT doc_id AS example_id, lang AS kind, text, round(((n_chars % 101) - (doc_id * 37 % 101)) / 10.0::DOUBLE, 6) AS gap FROM documents WHERE doc_id % 3 <> 0)
+SELECT example_id, kind, gap, sha256(text) AS reference_hash FROM g WHERE gap <= 0 ORDER BY gap, example_id LIMIT 24""")
 def q_feedback(s, d):
-    """The failures of a checkpoint with their examples' references."""
-    rows = scores.guarded(score_rows(s, d).where("split = 'train' and checkpoint = 0 and gap is not null"))
+    """The failures of a split of which every example is graded, as the guard makes sure, with their examples' references."""
+    docs = _t(s, d, "documents").withColumn("split", _split())
+    gap = F.round(((F.col("n_chars") % 101) - (F.col("doc_id") * 37 % 101)) / F.lit(10.0), 6)
+    rows = scores.guarded(docs.where("split = 'train'").select(F.col("doc_id").alias("example_id"), F.col("lang").alias("kind"), "split", gap.alias("gap")))
     few = scores.failures(rows)  # FAILURES rows
-    texts = _t(s, d, "documents").select(F.col("doc_id").alias("example_id"), F.sha2("text", 256).alias("reference_hash"))
+    texts = docs.select(F.col("doc_id").alias("example_id"), F.sha2("text", 256).alias("reference_hash"))
     return texts.join(F.broadcast(few), "example_id").select("example_id", "kind", "gap", "reference_hash")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import normalize_line, ws_words
+from inkmill.functions.text import normalize_line, normalize_paragraphs, ws_words
 
 HEADING_WORDS, PROSE_WORDS, LOOKAHEAD, SCENE = 12, 40, 3, 3
 CONTINUATION, CONTEXT_WORDS, CUTS, BOOKS_PER_AUTHOR, SEED = (300, 800), 2000, 6, 3, 20261005
@@ -127,19 +127,21 @@ def story_start(paras: DataFrame) -> DataFrame:
 
 
 def passages(cuts: DataFrame, paras: DataFrame) -> DataFrame:
-    """(doc_id, start, context_hash, reference_hash): texts before a cut and in it, joined by newlines."""
+    """(doc_id, start, context_hash, reference_hash): texts before a cut and in it, normalized, a blank line between paragraphs."""
     texts = paras.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("t"))
     both = cuts.join(texts, "doc_id")
     context = F.array_join(F.slice("t", F.lit(1), F.col("start").cast("int")), "\n")
     reference = F.array_join(F.slice("t", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "\n")
-    return both.select("doc_id", "start", F.sha2(context, 256).alias("context_hash"), F.sha2(reference, 256).alias("reference_hash"))
+    return both.select("doc_id", "start", F.sha2(normalize_paragraphs(context), 256).alias("context_hash"), F.sha2(normalize_paragraphs(reference), 256).alias("reference_hash"))
 
 
 def lesser_read(books: DataFrame) -> DataFrame:
     """Of books(author, stem, book_id, downloads): the most read of each stem; of those, the ones read less than the author's upper median."""
     w = Window.partitionBy("author", "stem").orderBy(F.desc("downloads"), "pos")
     unique = books.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    middle = unique.groupBy("author").agg(F.array_sort(F.collect_list("downloads")).alias("d")).select("author", F.element_at("d", F.expr("size(d) div 2 + 1").cast("int")).alias("median"))
+    by = Window.partitionBy("author")
+    placed = unique.withColumns({"k": F.row_number().over(by.orderBy("downloads")) - 1, "n": F.count("*").over(by)})
+    middle = placed.where("k = n div 2").select("author", F.col("downloads").alias("median"))
     return unique.join(middle, "author").where("downloads < median").select("author", "book_id", "downloads", "median")
 
 

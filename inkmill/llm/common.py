@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +65,27 @@ def row_key(*names: str) -> Column:
 ROW = ("doc_id", "text", "lang", "source")
 
 
+#: The columns of documents that stages work on.
+KNOWN = (*ROW, "n_chars")
+
+
+def carried(*made: str) -> Callable:
+    """A stage of documents, so that columns of any other names stay with their rows and can't clash with its own: they travel as one struct. Columns named in made are the stage's to make; docs' own of these names go."""
+
+    def wrap(stage: Callable) -> Callable:
+        @functools.wraps(stage)
+        def whole(docs: DataFrame, *args, **named) -> DataFrame:
+            names = [c for c in docs.columns if c not in made]
+            others = [c for c in names if c not in KNOWN]
+            packed = [F.struct(*[F.col(f"`{c}`").alias(c) for c in others]).alias("others")] if others else []
+            out = stage(docs.select(*[c for c in names if c in KNOWN], *packed), *args, **named)
+            return out.select(*[F.col(c) if c in KNOWN else F.col("others")[c].alias(c) for c in names], *[c for c in out.columns if c in made])
+
+        return whole
+
+    return wrap
+
+
 def numbered(docs: DataFrame, *names: str) -> DataFrame:
     """docs with _key, the row_key() of names, and _n, which numbers rows of the same key from 1."""
     docs = docs.withColumn("_key", row_key(*names))

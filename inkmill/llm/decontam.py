@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import only, small_enough, table, written
+from inkmill.llm.common import carried, only, small_enough, table, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 fingerprints differ in 9.6 bits on average, with a deviation of 2.9: the radius lies five deviations above.
@@ -153,6 +153,7 @@ SELECT doc_id, f.k IS NOT NULL AS contaminated, (coalesce(len(item_ids), 0) + co
 ORACLE = _sql()
 
 
+@carried()
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that match no benchmark item. Rows are told apart by id and text, null ids too; those with null or empty text stay, as do all if either table is empty."""
     bad = matches(docs, benchmark).select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th")).distinct()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import ROW, numbered, only, row_key, table, written
+from inkmill.llm.common import ROW, carried, numbered, only, row_key, table, written
 from inkmill.llm.quality import words_of
 
 SHARE, MOST_REPEATS, WEIGHTS, SEED = 1.5, 2, (5.0, 2.0, 1.0), 42
@@ -145,13 +145,13 @@ SELECT doc_id, size, source_size, target, taken, positions[1] AS position, posit
 """
 
 
+@carried("pass", "taken", "position")
 def in_order(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, a row each time, with pass, taken (words) and position, sorted by position.
 
     Columns of those names are replaced. Rows with null or repeated ids are rows of their own (see mixed());
     texts without words are not taken; an empty table gives an empty result.
     """
-    docs = docs.drop("pass", "taken", "position")
     plan = mixed(docs.withColumn("_key", row_key(*ROW)), "_key").where("taken > 0")
     # equal rows have the same key: each takes one of their plans
     plan = plan.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("positions", "size", "taken"))).alias("_plans"))

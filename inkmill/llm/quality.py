@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import ROW, SPACE, SPACE_CHARS, only, row_key, small_enough, table, written
+from inkmill.llm.common import ROW, SPACE, SPACE_CHARS, carried, only, row_key, small_enough, table, written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 50
 #: Per rate: what is counted, out of what, and the quantile, in thousandths, that the fence stands on. Symbols are rare in prose, so their level leaves room for much junk.
@@ -169,6 +169,7 @@ SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND {over} AS k
 ORACLE = _sql()
 
 
+@carried()
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep. Rows with null or repeated ids are judged one by one; an empty table gives an empty one."""
     keyed = docs.withColumn("_key", row_key(*ROW))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import ROW, free, only, table, written
+from inkmill.llm.common import ROW, carried, free, only, table, written
 
 DEPTH, PIECE = 100, 24
 #: Text of a block, about; windows of a batch; stretches of a hash over which it is cut into windows.
@@ -359,6 +359,7 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
 """
 
 
+@carried()
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of their texts (characters that a cut splits go too, n_chars follows); documents of which no word is left go."""
     # rows alike in doc_id and text have a cut each: they are dealt one by one

@@ -166,3 +166,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert by_key((r.doc_id, r.text, r["pass"], r.taken, round(r.position, 6) + 0.0) for r in whole) == by_key(mixed(want))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Other columns stay with their rows, whatever the stages call their own; those that mixing makes are replaced."""
+    rng = __import__("random").Random(12)
+    names = ["_key", "_n", "c_kept", "_plan", "_plans", "others", "b_th", "k", "a.b", "w", "h", "kept", "label"]
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(90)), "en", f"s{i % 2}", None, *[f"{n}{i}" for n in names]) for i in range(40)]
+    passage = " ".join(rows[0][1].split()[:40])
+    rows[7] = (7, rows[7][1] + " " + passage, *rows[7][2:])
+    schema = "doc_id long, text string, lang string, source string, taken string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, rows[3][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = set(range(40))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        left -= {3} if name == "benchmark decontamination" else set()
+        found = docs.collect()
+        assert {r.doc_id for r in found} == left and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names), name
+        assert docs.columns[:4] == ["doc_id", "text", "lang", "source"] and [c for c in docs.columns if c in names] == names
+        if name == "suffix-array dedup":
+            assert len([r for r in found if r.doc_id == 7][0].text) < len(rows[7][1])
+    assert docs.columns[-3:] == ["pass", "taken", "position"] and dict(docs.dtypes)["taken"] == "bigint"

@@ -580,6 +580,37 @@ def test_sketches_never_differ_more_than_sets():
     assert near.differing(*far) > 800 / 9  # sets apart are ruled out
 
 
+def test_wide_sketches_rule_out_no_match():
+    rng = random.Random(21)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(1, 900))}
+        b = set(rng.sample(sorted(a), rng.randint(0, len(a)))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 40))}
+        x, y = (near.wide_sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+        apart = sum((int(p) ^ int(q)).bit_count() for p, q in zip(x.view(np.uint64), y.view(np.uint64), strict=True))
+        assert len(x) == near.WIDE and apart <= len(a ^ b)
+        if len(a & b) >= near.SIMILARITY * len(a | b):
+            assert apart <= near.MOST_APART * (len(a) + len(b)) + 1e-9
+
+
+def test_one_shingle_in_a_third_of_short_texts(spark, monkeypatch):
+    """A sentence that a third of 900 short texts hold makes no rows for pairs, and every pair that is near is found."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    hot, rows = "all of these texts say just this", []
+    for k in range(900):
+        text = (hot + " " if k % 3 == 0 else "") + " ".join(word() for _ in range(14))
+        rows.append((k, f"{rows[-1][1]} {word()}" if k % 9 == 1 else text))
+    sets = [set(near.shingle_set(t.encode()).tolist()) for _, t in rows]
+    pairs = [(a, b) for a in range(900) for b in range(max(0, a - 2), a) if len(sets[a] & sets[b]) >= near.SIMILARITY * len(sets[a] | sets[b])]
+    made = []
+    real = near.written
+    monkeypatch.setattr(near, "written", lambda df, name: (lambda out: made.append(out.count()) or out if name == "pairs" else out)(real(df, name)))
+    d = spark.createDataFrame([(k, t, None, None) for k, t in rows], "doc_id long, text string, lang string, source string").withColumn("_key", F.xxhash64("doc_id"))
+    label = {r.doc_id: r.label for r in near.labelled(d).collect()}
+    assert all(label[a] == label[b] for a, b in pairs) and len(pairs) > 20
+    assert len(set(label.values())) == 900 - len(pairs) and sum(made) < 2000
+
+
 def test_near_copies_against_all_pairs(spark, monkeypatch):
     rng = random.Random(12)
     vocabulary = [f"w{k}" for k in range(800)]

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from inkmill.functions import text
-from inkmill.operators import catalogs, intervals, overlap, scores
+from inkmill.operators import catalogs, estimates, intervals, overlap, scores
 
 
 def test_folding_is_that_of_python(spark):
@@ -104,3 +104,22 @@ def test_identifiers_in_texts(spark, monkeypatch):
         monkeypatch.setattr(overlap, "MOST_IDENTIFIERS", most)
         got = overlap.identifier_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ids, "identifier string")).collect()
         assert sorted(map(tuple, got), key=repr) == want and len(want) > 50
+
+
+def test_cheapest_endpoint_that_takes_a_request(spark):
+    """Limits that are missing, prices that are none, what a request needs, ties by name; sums are exact."""
+    import json
+    from decimal import Decimal
+
+    def endpoint(name, prompt, completion, context=None, most=None, parameters=("seed",)):
+        return {"provider_name": name, "context_length": context, "max_completion_tokens": most, "pricing": {"prompt": prompt, "completion": completion, "discount": 0}, "supported_parameters": parameters and list(parameters), "more": [1]}
+
+    a = [endpoint("small", "0.00000001", "0.00000001", 100, 50), endpoint("large", "0.00000125", "0.00000425", 1000), endpoint("b", "0.00000125", "0.00000425"), endpoint("free?", None, "0"), endpoint("odd", "x", "1"), endpoint("tools", "0.1", "0.3", parameters=("tools", "seed")), endpoint("bare", "0", "0", 10, parameters=None)]
+    listings = spark.createDataFrame([(json.dumps({"data": {"id": "m", "endpoints": a}}),), ("no json",), (json.dumps({"data": {"id": "n", "endpoints": []}}),)], "json string")
+    rows = [(1, "m", 50, 50, ["seed"]), (2, "m", 50, 51, ["seed"]), (3, "m", 2000, 3, None), (4, "m", 1, 1, ["tools"]), (5, "m", 1, 1, ["logprobs"]), (6, "n", 1, 1, []), (7, "unheard", 1, 1, []), (8, "m", 3, 3, [])]
+    requests = spark.createDataFrame(rows, "id int, model string, prompt_tokens long, completion_tokens long, needs array<string>")
+    got = {r.id: (r.provider, r.cost) for r in estimates.priced(requests, listings).collect()}
+    d = Decimal
+    assert got == {1: ("small", d("0.000001")), 2: ("b", d("0.00027925")), 3: ("b", d("0.00251275")), 4: ("tools", d("0.4")), 5: (None, None), 6: (None, None), 7: (None, None), 8: ("bare", d(0))}
+    (one,) = estimates.estimate(requests.withColumn("role", F.lit("r")), listings, "role").collect()
+    assert (one.requests, one.unfit, one.cost, one.with_reserve) == (8, 3, d("0.402793"), d("0.50349125"))

@@ -1,7 +1,9 @@
 """Queries and steps whose work has to follow their input, and no more."""
 
 import hashlib
+import random
 
+from inkmill.operators import estimates
 from inkmill.plans import queries
 
 
@@ -11,3 +13,28 @@ def test_feedback_is_of_graded_rows(spark, tmp_path):
     got = {(r.example_id, r.kind, r.gap, r.reference_hash) for r in queries.q_feedback(spark, str(tmp_path)).collect()}
     want = sorted((round((n % 101 - i * 37 % 101) / 10, 6), i, lang, t) for i, t, lang, _, n in rows if i % 3 and i % 17 and i % 19)
     assert got == {(i, lang, gap, hashlib.sha256(t.encode()).hexdigest()) for gap, i, lang, t in want[:24] if gap <= 0}
+
+
+def test_estimates_compare_with_few_endpoints(spark):
+    rng = random.Random(4)
+    listed = []
+    for k in range(400):
+        limits = "".join(f',"{n}":{rng.randint(*r)}' for n, r in (("context_length", (50, 400)), ("max_completion_tokens", (20, 200))) if rng.random() < 0.9)
+        listed.append(f'{{"provider_name":"p{rng.randint(1, 50)}"{limits},"pricing":{{"prompt":"0.{rng.randint(0, 60):03}","completion":"0.{rng.randint(0, 60):03}"}},"supported_parameters":{rng.choice(["[]", chr(91) + chr(34) + "seed" + chr(34) + chr(93), chr(91) + chr(34) + "tools" + chr(34) + "," + chr(34) + "seed" + chr(34) + chr(93), "null"])}}}')
+    listings = spark.createDataFrame([('{"data":{"id":"m","endpoints":[' + ",".join(listed) + "]}}",)], "json string")
+    asked = [(k, "m", rng.choice([0, 0, None, -5, *range(1, 400, 40)]), rng.choice([0, 0, None, *range(1, 220, 20)]), rng.choice([None, [], ["seed"], ["tools"], ["seed", "tools"]])) for k in range(300)]
+    requests = spark.createDataFrame(asked, "id int, model string, prompt_tokens long, completion_tokens long, needs array<string>")
+    got = {r.id: (r.provider, r.cost) for r in estimates.priced(requests, listings).collect()}
+    all_, few = ([(e, g.parameters) for r in estimates.endpoints(listings).collect() if r.free is x for g in r.endpoints for e in g.of] for x in (True, False))
+    assert len(all_) == 400 and len(few) < 200
+
+    def one(a, b, needs):
+        if a is None or b is None:
+            return None, None
+        fit = [e for e, has in all_ if (e.context is None or a + b <= e.context) and (e.most is None or b <= e.most) and set(needs or []) <= set(has)]
+        cost, provider = min(((e.prompt * a + e.completion * b, e.provider) for e in fit), default=(None, None))
+        return provider, cost
+
+    # a request with an unknown number of tokens fits where no limit is told, at no known cost
+    assert {k: v for k, v in got.items() if None not in asked[k][2:4]} == {k: one(a, b, needs) for k, _, a, b, needs in asked if None not in (a, b)}
+    assert all(got[k][1] is None for k, _, a, b, _ in asked if None in (a, b))

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from inkmill.operators import estimates
 from inkmill.plans import queries
 
@@ -38,3 +40,35 @@ def test_estimates_compare_with_few_endpoints(spark):
     # a request with an unknown number of tokens fits where no limit is told, at no known cost
     assert {k: v for k, v in got.items() if None not in asked[k][2:4]} == {k: one(a, b, needs) for k, _, a, b, needs in asked if None not in (a, b)}
     assert all(got[k][1] is None for k, _, a, b, _ in asked if None in (a, b))
+
+
+def test_near_dedup_links_by_simhash_first(spark, monkeypatch):
+    """What is linked is the same with and without SimHash, which links some by itself; many pairs between two components are one link."""
+    near = pytest.importorskip("inkmill.llm.near")
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(400)]
+    base, rows = [rng.choice(words) for _ in range(120)], []
+    for k in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((k, k, " ".join(t)))
+    rows += [(100 + k, 100 + k, " ".join(rng.choice(words) for _ in range(80))) for k in range(20)] + [(200, 200, ""), (201, 201, None)]
+    docs = spark.createDataFrame(rows, "_key long, doc_id long, text string")
+    sets = {k: {*near.shingle_set((t or "").encode()).tolist()} for k, _, t in rows}
+    group = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = {k: group[b] if g == group[a] else g for k, g in group.items()}
+    parts = lambda label: sorted(sorted(k for k in label if label[k] == g) for g in set(label.values()))
+    asked, links = [], near.merged
+    monkeypatch.setattr(near, "merged", lambda label, pairs: asked.append((label is None, pairs.count())) or links(label, pairs))
+    group[201] = group[200]
+    assert parts({r._key: r.label for r in near.labelled(docs).collect()}) == parts(group)
+    assert asked and asked[0][0]
+    cards = spark.createDataFrame([(k, n) for k, n in enumerate([0, 7, 7, 1 << 40, 255])], "v long, fp long")
+    assert {(r.a, r.b) for r in near.by_fingerprint(cards).collect()} == {(1, 2), (0, 1), (0, 3)}
+    label = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, label long")
+    pairs = spark.createDataFrame([(1, 5), (2, 6), (2, 5), (8, 9)], "a long, b long")
+    assert {tuple(r) for r in links(label, pairs).collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (8, 8), (9, 8)}

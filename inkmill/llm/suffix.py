@@ -12,8 +12,10 @@ same document). Indexing every suffix of the corpus would write many times the c
    of their places: each batch gets its suffix array (its windows sorted by their 100 bytes), is
    merge-scanned against the existing levels, and becomes a level; levels of about equal size merge, so
    there are logarithmically many. What a scan finds is an earlier copy. Hashes with very many different
-   stretches (the edges of a passage that a third of the documents share) are cut into windows known by
-   128-bit fingerprints, which spread over all partitions, and go through the same index.
+   stretches (the edges of a passage that a third of the documents share) are cut into cells: windows whose
+   distances to the piece lie in one range of CELL, known by the bytes that all of them have. Most cells at an
+   edge occur once. Those that still have very many contents are cut into windows known by 128-bit
+   fingerprints, which spread over all partitions. Cells and windows go through the same index.
 3. Removed runs return to their block and are cut out of its documents.
 
 Nothing is compared across documents in pairs, and what a block says of a hash is one row, however often
@@ -32,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import ROW, carried, free, only, table, written
+from inkmill.llm.common import ROW, carried, free, only, small_enough, table, written
 
 DEPTH, PIECE = 100, 24
-#: Text of a block, about; windows of a batch; stretches of a hash over which it is cut into windows.
-BLOCK_BYTES, BATCH_WINDOWS, HOT = 8 << 20, 50_000, 256
-#: Windows that a partition has in memory at a time, about; bytes of a mark, which stands for a window of a cut stretch.
-INDEX_WINDOWS, MARK = 400_000, 16
+#: Text of a block, about; windows of a batch; stretches of a hash over which it is cut into cells, and cells over which they are cut into windows; windows of a cell.
+BLOCK_BYTES, BATCH_WINDOWS, HOT, CELL = 8 << 20, 50_000, 256, 16
+#: Windows that a partition has in memory at a time, about; bytes of a mark, which stands for a window of a cut cell; cut cells up to which they are broadcast.
+INDEX_WINDOWS, MARK, MOST_CUT = 400_000, 16, 500_000
 _LAST = (1 << 63) - 1
 ALL, FIRST, MIXED, CUT = 0, 1, 2, 3
 
@@ -78,11 +80,9 @@ def windows_of(content: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, DEPTH)).view(f"S{DEPTH}")[:, 0]
 
 
-def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, windows) of each stretch of text."""
+def _pieces(text: bytes) -> np.ndarray:
+    """The hash of each piece of text."""
     n = len(text)
-    if n < DEPTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     eight = np.ndarray((n - 7,), "<u8", text, 0, (1,)).copy()
     pieces = n - PIECE + 1
     h = eight[:pieces] * np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,14 @@ def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows) of each stretch of text."""
+    if len(text) < DEPTH:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = _pieces(text)
     wide, step, least = DEPTH - PIECE + 1, 1, h
     while step * 2 <= wide:
         least = np.minimum(least[:-step], least[step:])
@@ -222,22 +230,62 @@ def _find(rows: pa.Table, told: pa.Table) -> pa.Table:
 
 
 def _cut_up(b: _Block, block: int, cut: np.ndarray) -> list[pa.Table]:
-    """The windows of the stretches `cut`: entries known by their marks, and runs of those that the block holds earlier. Arrays, as they may be most of a block."""
-    digest, n = xxhash.xxh3_128_digest, b.n[cut]
-    parts = [b"".join([digest(text[w : w + DEPTH]) for w in range(s, s + m)]) for text, s, m in zip((b.texts[k] for k in b.owner[cut].tolist()), b.start[cut].tolist(), n.tolist(), strict=True)]
-    mark = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
-    del parts
-    order = np.lexsort((mark[:, 1], mark[:, 0]))
+    """The cells of the stretches `cut`: entries, and runs of those that the block holds earlier. Equal windows have their anchor at the same distance, so they lie in cells of the same key."""
+    owner, s, n = b.owner[cut], b.start[cut], b.n[cut]
+    anchor = s.copy()
+    for k in np.unique(owner).tolist():
+        h = _pieces(b.texts[k])
+        for x in range(*np.searchsorted(owner, (k, k + 1)).tolist()):
+            anchor[x] += int(np.argmin(h[s[x] : s[x] + DEPTH - PIECE + 1]))
+    far, cells = (anchor - s) // CELL, (anchor - s) // CELL - (anchor - s - n + 1) // CELL + 1
+    which = np.repeat(np.arange(len(cut)), cells)
+    j = far[which] - (np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells))
+    p = anchor[which]
+    w = np.maximum(s[which], p - (j + 1) * CELL + 1)
+    m = np.minimum(s[which] + n[which] - 1, p - j * CELL) - w + 1
+    k, core = owner[which], p - j * CELL
+    digest, texts = xxhash.xxh3_64_intdigest, [b.texts[x] for x in k.tolist()]
+    key = np.fromiter((digest(x[c : c + DEPTH - CELL + 1]) for x, c in zip(texts, core.tolist(), strict=True)), np.uint64, len(k))
+    content = [x[c : c + i + DEPTH - 1] for x, c, i in zip(texts, w.tolist(), m.tolist(), strict=True)]
+    h = np.fromiter(map(digest, content), np.uint64, len(k))
+    order = np.lexsort((h, key))
     new = np.ones(len(order), bool)
-    new[order[1:]] = (mark[order[1:]] != mark[order[:-1]]).any(axis=1)  # lexsort is stable: the earliest of each mark
-    del order
-    which, offset = np.repeat(cut, n), np.arange(len(mark)) - np.repeat(np.cumsum(n) - n, n)
+    new[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]])  # lexsort is stable: the earliest of each content
     fresh, again = np.flatnonzero(new), np.flatnonzero(~new)
-    one = lambda x: np.ones(len(x), np.int64)
-    ends = pa.array(np.arange(0, MARK * len(fresh) + 1, MARK, dtype=np.int32)).buffers()[1]
-    content = pa.Array.from_buffers(pa.binary(), len(fresh), [None, ends, pa.py_buffer(np.ascontiguousarray(mark[fresh]))])
-    w, o = which[fresh], offset[fresh]
-    return [_rows(block, b.owner[which[again]], b.start[which[again]] + offset[again], one(again)), _rows(block, b.owner[w], b.start[w] + o, one(w), mark[fresh, 0], b.doc[w], b.at[w] + o, content)]
+    own, at = cut[which[fresh]], w[fresh] - b.start[cut[which[fresh]]]
+    return [_rows(block, k[again], w[again], m[again]), _rows(block, k[fresh], w[fresh], m[fresh], key[fresh], b.doc[own], b.at[own] + at, [content[x] for x in fresh.tolist()])]
+
+
+def _spans(seen: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of seen windows within one entry; which tells the windows' entries."""
+    edge = np.concatenate(([True], which[1:] != which[:-1]))
+    begin = np.flatnonzero(seen & (edge | ~np.concatenate(([False], seen[:-1]))))
+    return begin, np.flatnonzero(seen & (np.concatenate((edge[1:], [True])) | ~np.concatenate((seen[1:], [False]))))
+
+
+def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of cells that are cut: entries known by their marks, and runs, without content, of those that the batch holds earlier."""
+    digest = xxhash.xxh3_128_digest
+    for batch in it:
+        t = pa.Table.from_batches([batch])
+        t = t.take(pa.array(np.lexsort((t.column("at").to_numpy(), t.column("doc").to_numpy()))))
+        k, start, n, doc, at, block = (t.column(x).to_numpy() for x in ("k", "start", "n", "doc", "at", "block"))
+        mark = np.frombuffer(b"".join([digest(c[o : o + DEPTH]) for c, m in zip(t.column("content").to_pylist(), n.tolist(), strict=True) for o in range(m)]), "<u8").reshape(-1, 2)
+        order = np.lexsort((mark[:, 1], mark[:, 0]))
+        new = np.ones(len(order), bool)
+        new[order[1:]] = (mark[order[1:]] != mark[order[:-1]]).any(axis=1)
+        which, offset = np.repeat(np.arange(len(n)), n), np.arange(len(mark)) - np.repeat(np.cumsum(n) - n, n)
+        fresh = np.flatnonzero(new)
+        w, o = which[fresh], offset[fresh]
+        ends = pa.array(np.arange(0, MARK * len(fresh) + 1, MARK, dtype=np.int32)).buffers()[1]
+        content = pa.Array.from_buffers(pa.binary(), len(fresh), [None, ends, pa.py_buffer(np.ascontiguousarray(mark[fresh]))])
+        begin, stop = _spans(~new, which)
+        r = which[begin]
+        # runs have no key to meet under: they are dealt by their places
+        runs = _rows(0, k[r], start[r] + offset[begin], stop - begin + 1, (at[r] + offset[begin]) * 1_000_003 + doc[r], doc[r], at[r] + offset[begin])
+        out = pa.concat_tables([_rows(0, k[w], start[w] + o, np.ones(len(w), np.int64), mark[fresh, 0], doc[w], at[w] + o, content), runs])
+        out = out.set_column(0, "block", pa.array(np.concatenate((block[w], block[r]))))
+        yield from out.select(batch.schema.names).combine_chunks().to_batches()
 
 
 def _rows(block: int, k, start, n, key=None, doc=None, at=None, content=None) -> pa.Table:
@@ -258,6 +306,12 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if t is None or not t.num_rows:
         return
     del batches
+    if len(told := np.flatnonzero(t.column("content").is_null().to_numpy())):
+        yield from t.take(pa.array(told)).select(["block", "k", "start", "n"]).combine_chunks().to_batches()
+    _, where, times = np.unique(t.column("key").to_numpy(), return_inverse=True, return_counts=True)
+    t = t.take(pa.array(np.flatnonzero(t.column("content").is_valid().to_numpy() & (times[where] > 1))))
+    if not t.num_rows:
+        return
     t = t.take(pa.array(np.lexsort((t.column("at").to_numpy(), t.column("doc").to_numpy()))))
     key, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
     marks = pc.equal(pc.binary_length(t.column("content")), MARK).to_numpy()
@@ -280,9 +334,7 @@ def _through(t: pa.Table, cut) -> Iterator[pa.RecordBatch]:
         # runs within each entry
         which = np.repeat(np.arange(z - a), n[a:z])
         offset = np.arange(len(which)) - np.repeat(ends[a:z] - n[a:z] - (ends[a] - n[a]), n[a:z])
-        edge = np.concatenate(([True], which[1:] != which[:-1]))
-        begin = np.flatnonzero(seen & (edge | ~np.concatenate(([False], seen[:-1]))))
-        stop = np.flatnonzero(seen & (np.concatenate((edge[1:], [True])) | ~np.concatenate((seen[1:], [False]))))
+        begin, stop = _spans(seen, which)
         owner = which[begin]
         take = lambda name: part.column(name).to_numpy()[owner]  # noqa: E731, B023
         yield pa.RecordBatch.from_arrays([pa.array(take("block")), pa.array(take("k")), pa.array(take("start") + offset[begin]), pa.array(stop - begin + 1)], names=["block", "k", "start", "n"])
@@ -322,8 +374,8 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     Null text is empty; texts under DEPTH bytes lose nothing. Rows that repeat a doc_id count as documents
     that follow each other, in the order of their texts; rows without a doc_id come last of all. An empty
-    table gives an empty result. Hashes with more than hot different stretches are cut into windows known by
-    their fingerprints; what is removed is the same for any hot.
+    table gives an empty result. Hashes with more than hot different stretches are cut into cells, cells with more
+    than hot contents into windows known by their fingerprints; what is removed is the same for any hot.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -336,7 +388,12 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     at_block = told.repartition(blocks, "block").groupBy("block")
     found = written(docs.groupBy("block").cogroup(at_block).applyInArrow(_find, FOUND), "found")
     free(spark)
-    entries = found.where("content is not null").repartition(blocks, "key")
+    entries = found.where("content is not null")
+    cut = written(entries.groupBy("key").agg(F.count("*").alias("contents")).where(F.col("contents") > hot).select("key"), "cut")
+    if not cut.isEmpty():
+        cut = F.broadcast(cut) if small_enough(cut, MOST_CUT) else cut
+        entries = entries.join(cut, "key", "left_anti").unionByName(entries.join(cut, "key", "left_semi").select(*found.columns).mapInArrow(_windows, FOUND))
+    entries = entries.select(*found.columns).repartition(blocks, "key")
     scanned = written(entries.mapInArrow(_scan, RUNS), "scanned")
     free(spark)
     runs = found.where("content is null").select("block", "k", "start", "n").unionByName(scanned)

@@ -102,6 +102,18 @@ def test_suffix_with_a_passage_in_more_documents_than_hot(spark):
     assert got(suffix.deduplicated(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")), *SUFFIX) == cut_by_force(every)
 
 
+def test_cut_stretches_cost_few_rows():
+    """A hash with too many stretches costs some cells a stretch, not a row for each window."""
+    rng = random.Random(6)
+    text = bytes(rng.randrange(32, 127) for _ in range(4000))
+    a, _, n = suffix.stretches(text)
+    rows = pa.table({"block": [0], "doc_id": [1], "text": [text.decode()]})
+    told = pa.table({"block": [0] * len(a), "a": a.view("int64"), "kind": [suffix.CUT] * len(a)})
+    found = suffix._find(rows, told)
+    assert sum(found.column("n").to_pylist()) == n.sum() == 3901
+    assert found.num_rows < n.sum() / 5 and sum(map(len, found.column("content").to_pylist())) < 12 * len(text)
+
+
 def test_index_shares_lose_no_match(monkeypatch):
     rng = random.Random(8)
     base = {k: bytes(rng.randrange(32, 127) for _ in range(160)) for k in range(30)}

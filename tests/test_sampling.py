@@ -44,6 +44,20 @@ def test_walk_as_row_by_row(spark, monkeypatch, authors, quotas, broadcast):
     assert sorted(repr(tuple(r)) for r in got) == walk(rows, quotas)
 
 
+def test_walk_sorts_what_its_quotas_need(spark, monkeypatch):
+    """With small quotas, few of the rows' keys are written."""
+    written, stage = {}, sampling.stage
+    monkeypatch.setattr(sampling, "stage", lambda df, name: written.setdefault((name, len(written)), stage(df, name)))
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(1 << 12), i, [f"x{rng.randrange(900)}" for _ in range(3)], [f"t{i % 700}"]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "field string, pos long, id long, author array<string>, title array<string>")
+    monkeypatch.setattr(sampling, "removed", lambda df: None)
+    got = sampling.conflict_free(df, {"a": 3, "b": 4}, ["author", "title"], bits=12).collect()
+    assert sorted(repr(tuple(r)) for r in got) == walk(rows, {"a": 3, "b": 4})
+    counts = [df.count() for (name, _), df in written.items() if name in ("keys", "open")]
+    assert sum(counts) < len(rows)
+
+
 def test_walk_of_nothing(spark):
     df = spark.createDataFrame([], "field string, pos long, id long, author array<string>")
     assert sampling.conflict_free(df, {"a": 1}, ["author"]).collect() == []

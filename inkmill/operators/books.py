@@ -6,10 +6,10 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import normalize_line, normalize_paragraphs, ws_words
+from inkmill.functions.text import NOT_BLANK, normalize_line, normalize_paragraphs, ws_words
 
 HEADING_WORDS, PROSE_WORDS, LOOKAHEAD, SCENE = 12, 40, 3, 3
 CONTINUATION, CONTEXT_WORDS, CUTS, BOOKS_PER_AUTHOR, SEED = (300, 800), 2000, 6, 3, 20261005
@@ -36,23 +36,27 @@ def paragraph_type(p: Column, indented: Column | None = None) -> Column:
 def book_body(raw: Column) -> Column:
     """The text between a book's marks, without notes in brackets, with plain italics and long dashes; null if a mark is missing."""
     text = F.replace(F.regexp_replace(raw, "^\ufeff", ""), F.lit("\r\n"), F.lit("\n"))
-    body = F.get(F.split(F.get(F.split(text, START, 2), F.lit(1)), END, 2), F.lit(0))
-    body = F.when(text.rlike(START) & F.get(F.split(text, START, 2), F.lit(1)).rlike(END), body)
+    # a lambda's variable is worked out once, so a text is split once at each mark
+    ended = F.transform(F.slice(F.split(text, START, 2), 2, 1), lambda x: F.split(x, END, 2))
+    body = F.get(F.flatten(F.filter(ended, lambda x: F.size(x) > 1)), F.lit(0))
     body = F.regexp_replace(F.regexp_replace(body, BRACKETED, ""), FOOTNOTE_MARK, "")
-    return F.regexp_replace(F.regexp_replace(body, ITALICS, "$1"), DASH, "—")
+    # a look behind at every character is dear: only texts with an underscore pay for it
+    plain = F.transform(F.array(body), lambda x: F.when(F.contains(x, F.lit("_")), F.regexp_replace(x, ITALICS, "$1")).otherwise(x))
+    return F.regexp_replace(F.get(plain, F.lit(0)), DASH, "—")
 
 
 def book_paragraphs(books: DataFrame) -> DataFrame:
     """(doc_id, pos, type, words, text) of books(doc_id, raw): stretches between blank lines, each on one line, from the first story heading that has prose close behind. Books without marks or such a heading have no rows."""
     chunks = books.select("doc_id", F.posexplode_outer(F.split(book_body(F.col("raw")), r"\n[ \t]*\n")).alias("at", "chunk")).where("chunk is not null")
-    lines = F.filter(F.split("chunk", "\n"), lambda x: F.size(ws_words(x)) > 0)
+    lines = F.filter(F.split("chunk", "\n"), lambda x: x.rlike(NOT_BLANK))
     rows = chunks.withColumn("lines", lines).where(F.size("lines") > 0)
     rows = rows.select("doc_id", "at", F.forall("lines", lambda x: x.rlike(r"^\s{2,}\S")).alias("indented"), normalize_line(F.array_join("lines", " ")).alias("text"))
     rows = rows.where(~F.col("text").rlike(PRODUCTION_NOTE))
     rows = rows.select("doc_id", "at", paragraph_type(F.col("text"), F.col("indented")).alias("type"), F.size(ws_words(F.col("text"))).cast("long").alias("words"), "text")
     rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("long")).drop("at")
-    first = story_start(rows).withColumnRenamed("start", "first")
-    rows = rows.join(first, "doc_id").where(F.col("pos") >= F.col("first"))
+    # the start by a window, as a join would read and clean all books twice
+    rows = rows.withColumn("first", F.min(F.when(_opens(Window.partitionBy("doc_id").orderBy("pos")), F.col("pos"))).over(Window.partitionBy("doc_id")))
+    rows = rows.where(F.col("pos") >= F.col("first"))
     return rows.select("doc_id", (F.col("pos") - F.col("first")).alias("pos"), "type", "words", "text")
 
 
@@ -93,9 +97,11 @@ def cut_sample(paras: DataFrame, n: int = CUTS, words: tuple[int, int] = CONTINU
 
     Each start after a scene and after `context` words draws a length, in order; it counts if prose paragraphs
     reach that length within words[1]. Then each of n equal stretches of the words after context draws one of
-    its starts, none inside the cut before. One task reads a book's paragraphs without their texts.
+    its starts, none inside the cut before. One task reads a book's paragraphs without their texts, of books alone that
+    have a start: the others, most of a corpus of short texts, would cost a call each and draw nothing.
     """
-    p = prefix_words(paras).select("doc_id", "pos", "before", "words", "scene", "type", "stop")
+    starts = F.col("scene") & (F.col("before") >= context)
+    p = prefix_words(paras).withColumn("starts", F.max(starts).over(Window.partitionBy("doc_id"))).where("starts").select("doc_id", "pos", "before", "words", "scene", "type", "stop")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, rng = pdf.sort_values("pos"), random.Random(f"{SEED}:{pdf.doc_id.iloc[0]}")
@@ -118,12 +124,15 @@ def cut_sample(paras: DataFrame, n: int = CUTS, words: tuple[int, int] = CONTINU
     return p.groupBy("doc_id").applyInPandas(draw, "doc_id long, start long, end long")
 
 
+def _opens(book: WindowSpec) -> Column:
+    """Whether a paragraph is a heading of a story's opening with long prose close behind."""
+    long_prose = ((F.col("type") == "prose") & (F.col("words") >= PROSE_WORDS)).cast("int")
+    return (F.col("type") == "heading") & F.col("text").rlike(STORY_HEADING) & (F.max(long_prose).over(book.rowsBetween(1, LOOKAHEAD)) == 1)
+
+
 def story_start(paras: DataFrame) -> DataFrame:
     """(doc_id, start): the first heading of a story's opening with long prose close behind."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, LOOKAHEAD)
-    long_prose = ((F.col("type") == "prose") & (F.col("words") >= PROSE_WORDS)).cast("int")
-    opens = (F.col("type") == "heading") & F.col("text").rlike(STORY_HEADING)
-    return paras.withColumn("ahead", F.max(long_prose).over(w)).where(opens & (F.col("ahead") == 1)).groupBy("doc_id").agg(F.min("pos").alias("start"))
+    return paras.withColumn("opens", _opens(Window.partitionBy("doc_id").orderBy("pos"))).where("opens").groupBy("doc_id").agg(F.min("pos").alias("start"))
 
 
 def passages(cuts: DataFrame, paras: DataFrame) -> DataFrame:

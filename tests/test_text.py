@@ -114,3 +114,17 @@ def test_names(spark):
     assert one(spark, text.display_name, "Buck, Pearl S. (Pearl Sydenstricker), 1892-1973") == "Pearl S. Buck"
     assert one(spark, text.criterion_key, "Accuracy & Tone!") == "accuracy_tone"
     assert one(spark, text.author_list, ["a", "b", "c", "d"], "array<string>") == "a, b, c and 1 more"
+
+
+def test_cut_sample_leaves_books_without_a_start_to_spark(spark):
+    """Only books that have a start reach Python."""
+    paras = spark.createDataFrame([(1, k, "prose", 200) for k in range(30)] + [(2, 0, "prose", 50)], "doc_id long, pos long, type string, words long")
+    plan = books.cut_sample(paras, 2, (100, 300), 500)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*starts#", plan[plan.index("FlatMapGroupsInPandas") :])
+
+
+def test_words_are_split_without_a_pattern_for_each_text(spark):
+    rows = [("",), (" ",), ("a",), (" a  b\tc d",), ("a b c ",), (None,), ("x\x1cy\x85z\u3000w\u2003\u2009v\u200b",)]
+    df = spark.createDataFrame(rows, "t string").select("t", text.ws_words(F.col("t")).alias("w"))
+    assert [r.w for r in df.collect()] == [None if t is None else t.split() for (t,) in rows]
+    assert "split(translate(" in df._jdf.queryExecution().optimizedPlan().toString()

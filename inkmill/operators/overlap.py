@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -35,11 +35,28 @@ def grams_of(df: DataFrame, key: str, n: int) -> DataFrame:
     return tokens.select(key, F.explode_outer(ngrams("t", n)).alias("g")).where("g is not null")
 
 
+def _near(outputs: DataFrame, told: DataFrame, words: Callable[[Column], Column], n: int) -> DataFrame:
+    """The rows of outputs(doc_id, text) that may share an n-gram with told(text), and all that do.
+
+    Of any n-gram, one of the pieces of half its words lies at a place that the stride meets, so outputs make a piece for
+    each stride, not an n-gram for each word; all pieces of told are known.
+    """
+    half = (n + 1) // 2
+    stride = n - half + 1
+    known = _hint(told.select(words(F.col("text")).alias("t")).select(F.explode(ngrams("t", half)).alias("g")).distinct())
+    t = outputs.select("doc_id", words(F.col("text")).alias("t")).where(F.size("t") >= n)
+    starts = F.sequence(F.lit(1), F.size("t") - (half - 1), F.lit(stride))
+    pieces = t.select("doc_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("t", i, F.lit(half)), " "))).alias("g"))
+    near = stage(pieces.join(known, "g", "left_semi").select(F.col("doc_id").alias("near")).distinct(), "near")
+    return outputs.join(_hint(near), F.col("doc_id").eqNullSafe(F.col("near")), "left_semi")
+
+
 def ngram_overlap(outputs: DataFrame, references: DataFrame, n: int = PROBE_NGRAM) -> DataFrame:
     """(doc_id, item_id, hits, n, ngram_fraction): the share of a reference's distinct n-grams that an output has, for pairs that share one."""
     ref = grams_of(references, "item_id", n).distinct()
     sizes = ref.groupBy("item_id").agg(F.count("*").alias("n"))
-    found = grams_of(outputs, "doc_id", n).join(_hint(ref), "g").distinct()
+    near = _near(outputs.select("doc_id", "text"), references, word_tokens, n)
+    found = grams_of(near, "doc_id", n).join(_hint(ref), "g").distinct()
     hits = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
     return hits.join(sizes, "item_id").select("doc_id", "item_id", "hits", "n", F.round(F.col("hits") / F.col("n"), 6).alias("ngram_fraction"))
 
@@ -56,7 +73,7 @@ def longest_runs(pairs: DataFrame, outputs: DataFrame, references: DataFrame) ->
 
 def probed(outputs: DataFrame, references: DataFrame) -> DataFrame:
     """Pairs with a shared n-gram, their run and whether they count as memorized. A run of LEAST_RUN words implies a shared n-gram, so no pair is missed."""
-    pairs = ngram_overlap(outputs, references)
+    pairs = stage(ngram_overlap(outputs, references), "pairs")  # read three times
     return pairs.join(longest_runs(pairs, outputs, references), ["doc_id", "item_id"]).withColumn("memorized", (F.col("ngram_fraction") > MOST_FRACTION) | (F.col("longest_run") >= LEAST_RUN))
 
 
@@ -64,16 +81,21 @@ def unmemorized(outputs: DataFrame, references: DataFrame) -> DataFrame:
     return outputs.join(probed(outputs, references).where("memorized").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
 
 
+def _span_words(x: Column) -> Column:
+    return ws_words(fold(x))
+
+
 def spans_of(df: DataFrame, key: str, pos: str, n: int = COPY_SPAN) -> DataFrame:
     """n-grams of folded white-space words, punctuation kept."""
-    tokens = df.select(key, ws_words(fold(F.col("text"))).alias("t"))
+    tokens = df.select(key, _span_words(F.col("text")).alias("t"))
     return tokens.select(key, F.posexplode_outer(ngrams("t", n)).alias(pos, "g")).where("g is not null")
 
 
 def copied_spans(proposals: DataFrame, sources: DataFrame, allowed: str = "") -> DataFrame:
     """(doc_id, item_id, first_pos, span): the first span of a proposal that a source has and the allowed text has not."""
     src = _hint(spans_of(sources, "item_id", "j").select("item_id", "g").distinct())
-    found = spans_of(proposals, "doc_id", "i").join(src, "g").where(~F.contains(F.lit(allowed), F.col("g")))
+    near = _near(proposals.select("doc_id", "text"), sources, _span_words, COPY_SPAN)
+    found = spans_of(near, "doc_id", "i").join(src, "g").where(~F.contains(F.lit(allowed), F.col("g")))
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("i", "g")).alias("m")).select("doc_id", "item_id", F.col("m.i").cast("long").alias("first_pos"), F.col("m.g").alias("span"))
 
 

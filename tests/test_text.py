@@ -128,3 +128,15 @@ def test_words_are_split_without_a_pattern_for_each_text(spark):
     df = spark.createDataFrame(rows, "t string").select("t", text.ws_words(F.col("t")).alias("w"))
     assert [r.w for r in df.collect()] == [None if t is None else t.split() for (t,) in rows]
     assert "split(translate(" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlap_makes_ngrams_of_near_texts_only(spark):
+    """Every shared n-gram at any place is found, and other texts make none."""
+    item = " ".join(f"w{k}" for k in range(13))
+    docs = spark.createDataFrame([(k, " ".join(["x"] * k + [item] + ["y"] * (k % 5))) for k in range(20)] + [(100, " ".join(f"w{k}" for k in range(12))), (101, None), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = overlap.ngram_overlap(docs, items).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.hits) for r in got) == [(False, k, 1) for k in range(20)] + [(True, 0, 1)]
+    assert [r.doc_id for r in overlap._near(docs.where("doc_id >= 100"), items, text.word_tokens, 13).collect()] == []
+    spans = overlap.copied_spans(docs, items).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.first_pos) for r in spans) == [(False, k, k) for k in range(20)] + [(False, 100, 0), (True, 0, 0)]

@@ -58,7 +58,6 @@ class Ledger(StatefulProcessor):
                 decision = "repeated" if r.request in held else "granted" if spent + reserved + amount <= self.budget else "refused"
                 if decision == "granted":
                     held[r.request] = (amount, int(r.at) + self.timeout)
-                    self.handle.registerTimer(-(-(int(r.at) + self.timeout) // 1000))
             elif r.request not in held:
                 decision = "unknown"
             else:
@@ -67,6 +66,9 @@ class Ledger(StatefulProcessor):
                 spent += amount if r.action == "settle" else 0
             out.append((name, int(r.seq), r.request, decision, amount, spent, sum(a for a, _ in held.values())))
         self._kept(spent, held, before)
+        # a call to the JVM each, so only for what is open at the end; timers of before are registered
+        for deadline in {x[1] for request, x in held.items() if before.get(request) != x}:
+            self.handle.registerTimer(-(-deadline // 1000))
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

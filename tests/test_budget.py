@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 
 from inkmill.streaming import budget
 
@@ -75,3 +77,23 @@ def test_one_run_and_runs_that_go_on(spark, tmp_path):
     assert all(got[k].spent == max(x[5] for x in want if x[0] == k) <= 3000 + 400 for k in "ab")
 
 
+
+
+def test_timers_of_open_reservations_only():
+    """What is settled in the same batch needs no timer."""
+    ledger, timers = budget.Ledger(1000, 10_000_000), []
+
+    class Value:
+        def exists(self):
+            return False
+
+        def update(self, x):
+            pass
+
+        updateValue = lambda self, k, v: None
+
+    ledger.handle = type("Handle", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    ledger.spent = ledger.open = Value()
+    rows = [(k, k * 1000, a, r, 5) for k, (a, r) in enumerate([("reserve", "a"), ("settle", "a"), ("reserve", "b"), ("release", "b"), ("reserve", "c")])]
+    out = list(ledger.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=["seq", "at", "action", "request", "amount"])]), None))
+    assert out[0].decision.tolist() == ["granted", "settled", "granted", "released", "granted"] and timers == [10_004]

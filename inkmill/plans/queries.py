@@ -510,7 +510,8 @@ def q_feedback(s, d):
 
 def _articles(s, d):
     """Documents set as LaTeXML pages, of which some break a rule: half the words are the abstract, half the introduction."""
-    w = text.ws_words(F.col("text"))
+    docs = _t(s, d, "documents").select("doc_id", text.ws_words(F.col("text")).alias("w"))  # a column of its own, as all the parts of a page ask for it
+    w = F.col("w")
     half = F.floor(F.size(w) / 2).cast("int")
     safe = lambda x: F.replace(F.replace(F.array_join(x, " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     item = lambda k: f'<li class="ltx_bibitem" id="b{k}"><span class="ltx_tag ltx_tag_bibitem">A</span> Title</li>'
@@ -522,7 +523,7 @@ def _articles(s, d):
         F.lit("<ul>" + "".join(map(item, range(1, 10)))), F.when(F.col("doc_id") % 7 == 0, "").otherwise(item(10)), F.lit("</ul>"),
         F.when(F.col("doc_id") % 11 == 0, '<span class="ltx_ERROR">lost</span>').otherwise(""), F.lit("</article></html>"),
     )
-    return papers.read_papers(_t(s, d, "documents").withColumn("html", html), "doc_id", "html")
+    return papers.read_papers(docs.withColumn("html", html), "doc_id", "html")
 
 
 _CLEAN = r"trim(regexp_replace(nfc_normalize({}), '\s+', ' ', 'g'))"

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -84,3 +85,42 @@ def test_texts_reach_python_by_the_hundred(spark):
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     got = {r.k: (r.a, r.b) for r in df.select("k", text.normalize_line("t").alias("a"), html_text.html_text("t").alias("b")).collect()}
     assert got == {k: (None if t is None else f"\u00e9 {k}", t or "") for k, t in rows}
+
+
+def test_papers_are_read_once(spark, tmp_path):
+    """A filter on what a page says was pushed below it as a second reading of the page."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(100 + 60 * (k % 2)))) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for q in (queries.q_paper_examples, queries.q_paper_rejects):
+        plan = q(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchEvalPython [") == 1
+    fit = {k for k, _ in rows if k % 2 and k % 13 and k % 7 and k % 11}
+    assert {(int(r.source_id), r.kind, r.target_words) for r in queries.q_paper_examples(spark, str(tmp_path)).collect()} == {(k, *x) for k in fit for x in (("abstract", 80), ("introduction", 82))}
+    assert {int(r.paper_id) for r in queries.q_paper_rejects(spark, str(tmp_path)).collect()} == {k for k, _ in rows} - fit
+
+
+def test_papers_cost_what_they_hold():
+    """Every item and every citation went through all elements of the page; an open element made each end tag go through all that were open."""
+
+    def took(n: int) -> float:
+        items = "".join(f'<li class="ltx_bibitem" id="b{k}"><span class="ltx_tag_bibitem">X</span> t{k}' for k in range(n))
+        cites = "".join(f'<p>w{k} <cite class="ltx_cite"><a href="#b{k}">x</a></cite>' for k in range(n))
+        html = f'<article class="ltx_document"><div class="ltx_abstract" id="a">{"<b>y</b> " * n}</div><section class="ltx_section" id="s"><h2>Introduction</h2>{cites}</section><ul>{items}</ul></article>'
+        began = time.process_time()
+        got = papers.paper_of(html)
+        assert got["items"] == n and [len(x["reference"].split()) for x in got["sections"]] == [n, 2 * n] and " ".join(got["sections"][0]["context"].split()).endswith(f"[{n}] t{n - 1}")
+        return time.process_time() - began
+
+    assert min(took(2000) for _ in range(2)) < 60 * min(took(100) for _ in range(5))
+
+
+def test_plain_tags_are_read_as_the_library_reads_them():
+    class Library(papers._Page):
+        parse_starttag, parse_endtag, updatepos = papers.HTMLParser.parse_starttag, papers.HTMLParser.parse_endtag, papers.HTMLParser.updatepos
+
+    rng = random.Random(6)
+    parts = ['<p class="a b">', "</p>", '<a href="#b1" id="x">', "</a>", "<br>", "<br/>", "</br>", "<P>", '<p id="a&amp;b">', '<p a="x>y">', "<p a=1 b>", '<p id="1"id="2">', '<p id="1" id="2">', "</p >", "<script>", "</script>", "<textarea>", "</textarea>", "<title>", "</title>", "<!-- <p> -->", "<", "&lt;", "text ", "<h1>", "</h1>", "<x-y>", '<p id="">', "<p\n>"]
+    for _ in range(300):
+        html = "".join(rng.choices(parts, k=30))
+        mine, theirs = papers._Page(html), Library(html)
+        assert (mine.elements, mine.texts) == (theirs.elements, theirs.texts), html
